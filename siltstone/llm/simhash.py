@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,13 +96,40 @@ def fingerprint(sims: np.ndarray, table: int, bits: int) -> np.ndarray:
     return out
 
 
-def lead(sims: np.ndarray, most: int) -> np.ndarray:
-    """For each member of a bucket the position of its leader: the first member, then the first of those too far from all leaders."""
+def buckets(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and nodes (ascending, distinct) of the keys that more than one node has; equal lists once."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[fresh], nodes[fresh]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(keys))
+    some = ends - starts > 1
+    starts, ends = starts[some], ends[some]
+    if not len(starts):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64)
+    sums = np.concatenate([[0], np.cumsum(mix(nodes.view(np.uint64)), dtype=np.uint64)])
+    name = sums[ends] - sums[starts]  # names a set; sets of one size and name are the same
+    _, first = np.unique(np.stack([name, (ends - starts).astype(np.uint64)], axis=1), axis=0, return_index=True)
+    starts, ends = starts[first], ends[first]
+    lens = ends - starts
+    at = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+    return np.concatenate([[0], np.cumsum(lens)]), nodes[at]
+
+
+def lead(offsets: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+    """For each member of each bucket the position of its leader: the bucket's first member, then the first of those too far
+    from all leaders so far, and so on."""
     leader = np.full(len(sims), -1)
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     open_ = np.arange(len(sims))
     while len(open_):
-        far = np.bitwise_count(sims[open_] ^ sims[open_[0]]).sum(1) > most
-        leader[open_[~far]] = open_[0]
+        own = of[open_]
+        first = open_[np.concatenate([[True], own[1:] != own[:-1]])]
+        to = first[np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))]
+        far = np.bitwise_count(sims[open_] ^ sims[to]).sum(1) > most
+        leader[open_[~far]] = to[~far]
         open_ = open_[far]
     return leader
 
@@ -147,27 +173,31 @@ def groups(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
                 node = np.repeat(part.column(WORDS).to_numpy(), each)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+        if held:
+            offsets, nodes = buckets(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(nodes))], names=["nodes"])
+
+    def lead_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column(0)
+            members = rows.flatten()
+            ids = members.field(0).to_numpy()
+            s = np.stack([members.field(k + 1).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
+            lens = rows.value_lengths().to_numpy()
+            order = np.lexsort((ids, np.repeat(np.arange(len(lens)), lens)))
+            ids, to = ids[order], lead(np.concatenate([[0], np.cumsum(lens)]), s[order], most)
+            apart = to != np.arange(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[to[apart]]), pa.array(ids[apart])], names=["a", "b"])
+
     node = F.xxhash64(*sims)
-    met = (
-        nodes.select(*sims, node.alias("node"))
-        .mapInArrow(emit, "key long, node long")
-        .groupBy("key")
-        .agg(F.collect_set("node").alias("nodes"))
-        .where("size(nodes) > 1")
-        .select(F.array_sort("nodes").alias("nodes"))
-        .distinct()  # the same texts meet at many variants
-        .select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
-    )
-    members = cut(met).join(nodes.select(node.alias("node"), *sims), "node")
-
-    def lead_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates().sort_values("node")
-        s = np.ascontiguousarray(rows[sims].to_numpy(np.int64)).view(np.uint64)
-        ids, to = rows["node"].to_numpy(), lead(s, most)
-        apart = to != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[to[apart]], "b": ids[apart]})
-
-    pairs = cut(members.groupBy("bucket").applyInPandas(lead_bucket, "a long, b long").distinct())
+    emitted = nodes.select(*sims, node.alias("node")).mapInArrow(emit, "key long, node long")
+    # a task sorts the keys that it gets; what it gets is bounded by the size of a shuffle partition
+    met = emitted.repartition("key").mapInArrow(meet, "nodes array<long>").distinct()
+    members = cut(met.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))).join(nodes.select(node.alias("node"), *sims), "node")
+    listed = members.groupBy("bucket", F.col("node")).agg(*[F.first(c).alias(c) for c in sims]).groupBy("bucket").agg(F.collect_list(F.struct("node", *sims)).alias("members"))
+    pairs = cut(listed.select("members").mapInArrow(lead_buckets, "a long, b long").distinct())
     linked = components(pairs)
     named = nodes.select(node.alias("node"), *sims).join(small(linked, 40), "node", "left").withColumn("__to", F.coalesce("__to", "node"))
     full = rows.join(named, sims).select("__id", "__h", "__n", "__to")
