@@ -4,7 +4,8 @@ A text has a SimHash of ``tables`` x ``bits`` bits over its set of words. Each t
 itself and all its variants at distance 1, half the radius of 2: two fingerprints within the radius meet
 at a variant, whatever bits they differ in. Texts that meet are verified by the distance of their whole
 SimHash; in a bucket every member is compared with a leader, and those that fail find another leader
-among themselves, so large buckets need neither a cap nor all pairs. Verified pairs are joined to groups.
+among themselves, so large buckets need neither a cap nor all pairs. Verified pairs are joined to components,
+in which members are led once more, so that every text of a group is a verified near copy of the one that stays.
 """
 
 from __future__ import annotations
@@ -191,6 +192,15 @@ def groups(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
             apart = to != np.arange(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(ids[to[apart]]), pa.array(ids[apart])], names=["a", "b"])
 
+    def lead_component(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lens, members = b.column(0).value_lengths().to_numpy(), b.column(0).flatten()
+            i, h, ids = (members.field(k).to_numpy() for k in range(3))
+            s = np.stack([members.field(k + 3).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
+            order = np.lexsort((h, i, np.repeat(np.arange(len(lens)), lens)))
+            to = lead(np.concatenate([[0], np.cumsum(lens)]), s[order], most)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(ids[order][to])], names=["node", "__to"])
+
     node = F.xxhash64(*sims)
     emitted = nodes.select(*sims, node.alias("node")).mapInArrow(emit, "key long, node long")
     # a task sorts the keys that it gets; what it gets is bounded by the size of a shuffle partition
@@ -198,7 +208,11 @@ def groups(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     members = cut(met.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))).join(nodes.select(node.alias("node"), *sims), "node")
     listed = members.groupBy("bucket", F.col("node")).agg(*[F.first(c).alias(c) for c in sims]).groupBy("bucket").agg(F.collect_list(F.struct("node", *sims)).alias("members"))
     pairs = cut(listed.select("members").mapInArrow(lead_buckets, "a long, b long").distinct())
+    # what is linked through others only is parted again: a component's members go to leaders, smallest doc_id first
     linked = components(pairs)
+    linked = linked.unionAll(linked.select(F.col("__to").alias("node"), "__to").distinct()).join(nodes.select(node.alias("node"), "__least", *sims), "node")
+    parted = linked.groupBy("__to").agg(F.collect_list(F.struct("__least.i", "__least.h", "node", *sims)).alias("members"))
+    linked = cut(parted.select("members").mapInArrow(lead_component, "node long, __to long"))
     named = nodes.select(node.alias("node"), *sims).join(small(linked, 40), "node", "left").withColumn("__to", F.coalesce("__to", "node"))
     full = rows.join(named, sims).select("__id", "__h", "__n", "__to")
     first = full.groupBy("__to").agg(F.min(order).alias("__least"), F.sum("__n").alias("__rows")).where("__rows > 1")
