@@ -80,11 +80,11 @@ def promote(rows: DataFrame, root: str) -> str:
     spark = rows.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     rows.write.parquet(f"{root}/{version}")
-    fs, temp = _fs(spark, f"{root}/_current.{version}")
+    fs, temp = _fs(spark, f"{root}/current.{version}")
     out = fs.create(temp, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    _, target = _fs(spark, f"{root}/_current")
+    _, target = _fs(spark, f"{root}/current.json")
     jvm = spark.sparkContext._jvm
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -94,7 +94,7 @@ def promote(rows: DataFrame, root: str) -> str:
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The table that a root points to."""
-    pointer = "".join(r["value"] for r in spark.read.text(f"{root}/_current").collect())
+    pointer = "".join(r["value"] for r in spark.read.text(f"{root}/current.json").collect())
     return spark.read.parquet(f"{root}/{json.loads(pointer)['version']}")
 
 
@@ -102,3 +102,21 @@ def snapshot(spark: SparkSession, root: str, to: str) -> int:
     """Copies the current version elsewhere and returns the number of its rows, read back."""
     current(spark, root).write.mode("errorifexists").parquet(to)
     return spark.read.parquet(to).count()
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """One file a row (name, text), written by tasks under a temporary name and renamed."""
+    from pyarrow import fs
+
+    def run(batches):
+        where, at = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        where.create_dir(at, recursive=True)
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                temp = f"{at}/.{uuid.uuid4().hex}"
+                with where.open_output_stream(temp) as out:
+                    out.write(text.encode())
+                where.move(temp, f"{at}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["name"])
+
+    rows.select("name", "text").mapInArrow(run, "name string").collect()
