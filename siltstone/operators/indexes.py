@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,15 +18,40 @@ def index_terms(c: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, field, tf, positions from chunk_id, title, text."""
-    field = lambda c: chunks.select("chunk_id", F.lit(c).alias("field"), F.posexplode(index_terms(F.col(c))).alias("pos", "term"))
-    both = field("title").unionAll(field("text"))
-    return both.groupBy("term", "chunk_id", "field").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+_PLAIN = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+_TERM = re.compile(r"[^\W_]+")
+
 
+def terms(text: str | None) -> list[str]:
+    """What :func:`index_terms` gives, in Python, for operators that keep a chunk's terms in its task."""
+    return _TERM.findall(text.lower().translate(_PLAIN)) if text else []
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", (F.size(index_terms(F.col("title"))) + F.size(index_terms(F.col("text")))).cast("long").alias("dl"))
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, field, tf, positions from chunk_id, title, text.
+
+    A posting only depends on its chunk, so postings are made where the chunk is, without a shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            term, chunk, field, tf, positions = [], [], [], [], []
+            for cid, title, text in zip(*(c.to_pylist() for c in b.columns)):
+                for name, value in (("title", title), ("text", text)):
+                    at: dict[str, list[int]] = {}
+                    for k, t in enumerate(terms(value)):
+                        at.setdefault(t, []).append(k)
+                    term.extend(at)
+                    positions.extend(at.values())
+                    tf.extend(map(len, at.values()))
+                    chunk.extend([cid] * len(at))
+                    field.extend([name] * len(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(term, pa.string()), pa.array(chunk, pa.int64()), pa.array(field, pa.string()), pa.array(tf, pa.int32()), pa.array(positions, pa.list_(pa.int32()))],
+                names=["term", "chunk_id", "field", "tf", "positions"],
+            )
+
+    return chunks.select("chunk_id", "title", "text").mapInArrow(run, "term string, chunk_id long, field string, tf int, positions array<int>")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,8 +59,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalised(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    """The norm is bound once, as the element of an array, and not computed again for every dimension."""
+    by = lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), by), 0)
 
 
 def flat_index(embeddings: DataFrame, metric: str = "ip") -> DataFrame:
@@ -63,11 +93,31 @@ def dequantise(quantised: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def sparse_index(chunks: DataFrame, buckets: int = 4096, most: int = 256) -> DataFrame:
-    """term_id, chunk_id, weight: term counts dampened by a logarithm, hashed, the heaviest ``most`` a chunk. Stands in for a learned encoder."""
-    terms = chunks.select("chunk_id", F.explode(index_terms(F.concat_ws("\n", "title", "text"))).alias("term"))
-    hashed = terms.groupBy("chunk_id", (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % buckets).cast("int").alias("term_id")).agg(F.count("*").alias("tf"))
-    top = Window.partitionBy("chunk_id").orderBy(F.desc("tf"), "term_id")
-    return hashed.withColumn("n", F.row_number().over(top)).where(F.col("n") <= most).select("term_id", "chunk_id", F.log1p("tf").alias("weight"))
+    """term_id, chunk_id, weight: term counts dampened by a logarithm, hashed, the heaviest ``most`` a chunk. Stands in for a learned encoder.
+
+    Chunks are encoded where they are, without a shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            ids, chunk, weight = [], [], []
+            for cid, title, text in zip(*(c.to_pylist() for c in b.columns)):
+                counts: dict[int, int] = {}
+                for t in (*terms(title), *terms(text)):
+                    h = known.get(t)
+                    if h is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        h = known[t] = int(md5(t.encode()).hexdigest()[:8], 16) % buckets
+                    counts[h] = counts.get(h, 0) + 1
+                top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
+                ids.extend(h for h, _ in top)
+                weight.extend(n for _, n in top)
+                chunk.extend([cid] * len(top))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(chunk, pa.int64()), pa.array(np.log1p(np.array(weight, np.float64)))], names=["term_id", "chunk_id", "weight"])
+
+    return chunks.select("chunk_id", "title", "text").mapInArrow(run, "term_id int, chunk_id long, weight double")
 
 
 def ivf_index(index: DataFrame, lists: int, seed: int = 1) -> tuple[DataFrame, list[tuple[int, list[float]]]]:
