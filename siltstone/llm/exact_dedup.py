@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, second_hash, small, text_hash
+from .textbytes import tidy
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id, which is thus kept last
 _PAIR = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("id", "<i8")])
@@ -159,6 +160,8 @@ def repeated_digests(docs: DataFrame, hi: Column, lo: Column, p: DedupParams) ->
                 held, n = [], 0
         if n:
             yield out(held)
+        del held
+        tidy()
 
     def compact(pieces: pd.DataFrame) -> pd.DataFrame:
         index = Index(p)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import word_count
+from .textbytes import tidy
 
 
 @dataclass(frozen=True)
@@ -205,6 +206,7 @@ def pack(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
         flat = some[np.array([i for b in bins for i in b], np.int64)]
         place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
         doc = np.concatenate([at, flat])
+        tidy()
         return pd.DataFrame(
             {
                 "shard": rows["shard"].to_numpy()[doc],

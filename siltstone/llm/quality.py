@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import mix, slices, tokens
+from .textbytes import mix, slices, tidy, tokens
 from .toxicity import labelled
 
 
@@ -119,6 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()
         y = rows["__y"].to_numpy(np.int64)
         one = tuple(rows["__of"][y == k].max() / (y == k).sum() if (y == k).any() else 1.0 for k in (0, 1))
         weights, bias = fit(list(rows["__text"]), y, p, one)
+        del rows, got
+        tidy()
         yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
 
     got = labelled(docs, labels, "quality", p.sample_rows).repartition(1).mapInPandas(run, "weights binary, bias double").collect()
@@ -138,6 +140,7 @@ def quality(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams
     @F.arrow_udf("double")
     def probability(text: pa.Array) -> pa.Array:
         margin = score_texts(text, model.value, bias, p)
+        tidy()
         return pa.array(np.where(margin <= -30, 0.0, 1 / (1 + np.exp(-np.clip(margin, -29, 30)))))
 
     scored = docs.select("doc_id", probability(F.col("text")).alias("p"))

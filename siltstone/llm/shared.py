@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .textbytes import slices
+from .textbytes import slices, tidy
 
 #: Rows of a small side are broadcast up to this many bytes (estimated); beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
@@ -65,4 +65,5 @@ def word_count(texts: pa.Array) -> pa.Array:
         inside = ~_GAP[buf]
         starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1  # a text begins with a space
         out[first : first + len(offsets) - 1] = np.diff(np.searchsorted(starts, offsets))
+    tidy()
     return pa.array(out)

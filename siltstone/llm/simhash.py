@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, small, text_hash
-from .textbytes import lower, mix, slices, words
+from .textbytes import lower, mix, slices, tidy, words
 
 WORDS = 4  # 64-bit words of a whole SimHash
 BITS = 64 * WORDS
@@ -144,6 +144,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sims, some = simhashes(b.column(2))
+            tidy()
             keep = pa.array(some)
             cols = [b.column(0).filter(keep), b.column(1).filter(keep), *(pa.array(sims[some, k].view(np.int64)) for k in range(WORDS))]
             yield pa.RecordBatch.from_arrays(cols, names=["__id", "__h", *(f"__s{k}" for k in range(WORDS))])
@@ -173,11 +174,14 @@ def groups(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
                 each = keys.shape[1] * keys.shape[2]
                 node = np.repeat(part.column(WORDS).to_numpy(), each)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
+        tidy()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
         if held:
             offsets, nodes = buckets(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+            del held
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(nodes))], names=["nodes"])
 
     def lead_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ Lower-casing covers ASCII and the Latin-1 letters of UTF-8; every byte from 0x80
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,15 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system; workers live on after a task, and their memory counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of rows of about ``limit`` bytes (one row at least).
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .textbytes import _WORD, lower, slices
+from .textbytes import _WORD, lower, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -60,25 +60,38 @@ def gram_buckets(buf: np.ndarray, least: int, most: int, bits: int) -> Iterator[
             yield at, (g ^ (g >> np.uint32(13))) >> np.uint32(32 - bits)
 
 
-def _bags(texts: pa.Array, p: ToxicityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, buckets and averaging weights of all n-grams, one entry per row and bucket."""
-    keys, counts = [], []
-    for first, buf, offsets in slices(texts):
-        buf = lower(buf)
-        own = []
-        for at, bucket in gram_buckets(buf, p.least, p.most, p.bucket_bits):
-            rows = np.searchsorted(offsets, at, side="right") - 1 + first
-            own.append((rows.astype(np.int64) << p.bucket_bits) | bucket)
-        if own:
-            k, c = np.unique(np.concatenate(own), return_counts=True)
-            keys.append(k)
-            counts.append(c)
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    key, count = np.concatenate(keys), np.concatenate(counts).astype(np.float64)
-    rows, bucket = key >> p.bucket_bits, key & ((1 << p.bucket_bits) - 1)
-    total = np.bincount(rows, weights=count, minlength=len(texts))
-    return rows, bucket, (count / total[rows]).astype(np.float32)
+def _bags(texts: list[str], p: ToxicityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of all texts, one entry for each bucket of a row: where rows begin, buckets, counts, and the rows' sums of counts."""
+    parts: tuple[list, list] = ([], [])
+    sizes, totals = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    for lo in range(0, len(texts), 256):
+        for at_row, buf, offsets in slices(pa.array(texts[lo : lo + 256], pa.large_string())):
+            buf, n, first = lower(buf), len(offsets) - 1, lo + at_row
+            own = []
+            for at, bucket in gram_buckets(buf, p.least, p.most, p.bucket_bits):
+                rows = np.searchsorted(offsets, at, side="right") - 1
+                own.append((rows.astype(np.int64) << p.bucket_bits) | bucket)
+            if own:
+                key, count = np.unique(np.concatenate(own), return_counts=True)
+                rows = key >> p.bucket_bits
+                count = np.minimum(count, 65535)
+                sizes[first : first + n] = np.bincount(rows, minlength=n)
+                totals[first : first + n] = np.bincount(rows, weights=count, minlength=n)
+                parts[0].append((key & ((1 << p.bucket_bits) - 1)).astype(np.int32))
+                parts[1].append(count.astype(np.uint16))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    return bounds, _joined(parts[0], np.int32), _joined(parts[1], np.uint16), totals.astype(np.float32)
+
+
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    """The parts in one array; they are let go on the way, so that memory doesn't double."""
+    out, at = np.empty(sum(map(len, parts)), kind), 0
+    parts.reverse()
+    while parts:
+        part = parts.pop()
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
 
 
 def fit(
@@ -93,12 +106,11 @@ def fit(
     y = np.asarray(labels, dtype=np.int64)
     if len(np.unique(y)) < 2:  # nothing to tell apart: nothing is toxic
         return np.zeros(size, np.float32), -1.0, 0.0
-    rows, bucket, weight = _bags(pa.array(texts, pa.large_string()), p)
+    bounds, bucket, count, total = _bags(texts, p)
     aside = np.zeros(len(y), dtype=bool)
     for label in (0, 1):
         own = rng.permutation(np.flatnonzero(y == label))
         aside[own[: int(len(own) * p.held)]] = True
-    bounds = np.searchsorted(rows, np.arange(len(y) + 1))
     emb = rng.uniform(-0.5, 0.5, (size, p.dims)).astype(np.float32) / p.dims
     out = rng.uniform(-0.5, 0.5, (p.dims, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -115,7 +127,7 @@ def fit(
                 continue
             lens = bounds[pick + 1] - bounds[pick]
             at = np.repeat(bounds[pick] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-            b, w = bucket[at], weight[at]
+            b, w = bucket[at], count[at] / np.repeat(total[pick], lens)
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
             mean = np.add.reduceat(emb[b] * w[:, None], starts, axis=0)
             z = mean @ out + bias
@@ -141,7 +153,10 @@ def fit(
     table = (emb @ (out[:, 1] - out[:, 0])).astype(np.float32)
     table[emb_g <= 2e-8] = 0  # n-grams that were never seen say nothing
     shift = float(bias[1] - bias[0])
-    score = np.bincount(rows, weights=weight * table[bucket], minlength=len(y)) + shift
+    score = np.full(len(y), -1e3)
+    for row in np.flatnonzero(bounds[1:] > bounds[:-1]):
+        own = slice(bounds[row], bounds[row + 1])
+        score[row] = float(table[bucket[own]] @ count[own].astype(np.float32)) / total[row] + shift
     test = np.flatnonzero(aside) if len(np.unique(y[aside])) == 2 else np.arange(len(y))
     return table, shift, _cut_off(score[test], y[test], stands_for)
 
@@ -204,6 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams
         y = rows["__y"].to_numpy(np.int64)
         one = tuple(rows["__of"][y == k].max() / (y == k).sum() if (y == k).any() else 1.0 for k in (0, 1))
         table, shift, least = fit(list(rows["__text"]), y, p, one)
+        del rows, got
+        tidy()
         yield pd.DataFrame({"model": [table.tobytes()], "shift": [shift], "least": [least]})
 
     rows = labelled(docs, labels, "toxic", p.sample_rows)
@@ -220,7 +237,9 @@ def log_odds(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityPar
 
     @F.arrow_udf("double")
     def above(text: pa.Array) -> pa.Array:
-        return pa.array(score_texts(text, model.value, shift, p) - least)
+        out = pa.array(score_texts(text, model.value, shift, p) - least)
+        tidy()
+        return out
 
     return above
 
