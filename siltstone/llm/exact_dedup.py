@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, second_hash, small, text_hash
+from .shared import cut, packed, second_hash, small, text_hash
 from .textbytes import tidy
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id, which is thus kept last
@@ -204,8 +204,7 @@ def drop_exact(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     """``docs`` with one row for each text, chosen as :func:`exact_dedup` does; rows with null texts stay."""
     hi, lo = text_hash(F.col("text")), second_hash(F.col("text"))
     seen = small(repeated_digests(docs, hi, lo, p), 40)
-    rows = docs.withColumns({"__hi": hi, "__lo": lo})
+    rows = packed(docs).select("row", "row.doc_id", "row.text").withColumns({"__hi": hi, "__lo": lo})
     once = rows.join(seen, ["__hi", "__lo"], "left_anti")
-    met = rows.where(F.col("text").isNotNull()).join(seen, ["__hi", "__lo"], "left_semi")
-    kept = _verified(met).where("__n = 1")
-    return once.select(docs.columns).unionAll(kept.select(docs.columns))
+    met = rows.where("text is not null").join(seen, ["__hi", "__lo"], "left_semi")
+    return once.select("row.*").unionAll(_verified(met).where("__n = 1").select("row.*"))

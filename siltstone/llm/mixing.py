@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, small, word_count
+from .shared import cut, packed, small, word_count
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,8 @@ def keep_mixture(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """The rows of ``docs`` that belong to the mixture, with all their columns."""
     kept = cut(selection(docs, p).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source")))
     kept = small(kept, 48)
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")), "left_semi")
+    rows = packed(docs)
+    return rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("__id")) & F.col("row.source").eqNullSafe(F.col("__source")), "left_semi").select("row.*")
 
 
 #: DuckDB's way to the same rows, from a relation ``docs``: blocks are listed and ranked.

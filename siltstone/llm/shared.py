@@ -48,6 +48,11 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` in one column, row, so that columns that are added can't clash with theirs; select("row.*") undoes it."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 

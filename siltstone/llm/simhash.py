@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, small, text_hash
+from .shared import cut, packed, small, text_hash
 from .textbytes import lower, mix, slices, tidy, words
 
 WORDS = 4  # 64-bit words of a whole SimHash
@@ -260,13 +260,11 @@ def drop_near(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     away = got.where("not __first").select("__id", "__h")
     again = cut(got.where("__first and __n > 1").select("__id", "__h"))
     same = lambda there: F.col("doc_id").eqNullSafe(there["__id"]) & (F.col("__th") == there["__h"])
-    rows = docs.withColumn("__th", text_hash(F.coalesce("text", F.lit(""))))
+    rows = packed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), text_hash(F.coalesce("row.text", F.lit(""))).alias("__th"))
     off = small(cut(away.unionAll(again)), 40)
-    kept = rows.join(off, same(off), "left_anti").select(docs.columns)
+    kept = rows.join(off, same(off), "left_anti").select("row.*")
     if again.isEmpty():
         return kept
-    from pyspark.sql import Window
-
     again = small(again, 40)
-    one = Window.partitionBy("doc_id", "__th").orderBy("text")
-    return kept.unionAll(rows.join(again, same(again), "left_semi").withColumn("__k", F.row_number().over(one)).where("__k = 1").select(docs.columns))
+    one = Window.partitionBy("doc_id", "__th").orderBy("row.text")
+    return kept.unionAll(rows.join(again, same(again), "left_semi").withColumn("__k", F.row_number().over(one)).where("__k = 1").select("row.*"))
