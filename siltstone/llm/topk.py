@@ -129,6 +129,8 @@ def top_k(vectors: DataFrame, p: TopKParams = TopKParams()) -> DataFrame:
     spark = vectors.sparkSession
     rows = clean(vectors)
     n = rows.count()
+    if not n:
+        return spark.createDataFrame([], "vec_id long, rank long, neighbor_id long, score double")
     shards = max(1, min(p.most_shards, math.ceil(n / p.shard_rows)))
     picked = rows.orderBy(F.xxhash64("__id")).limit(shards).collect()  # any pivots give the same result
     pivots = spark.sparkContext.broadcast(np.array([r["__v"] for r in picked], np.float64).reshape(len(picked), -1))
