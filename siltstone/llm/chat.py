@@ -7,10 +7,10 @@ have on their own path and the intervals of the emitted tokens that it may atten
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,30 +60,51 @@ def _trees(convs: DataFrame, most: int) -> DataFrame:
         known = cut(deeper.select("conv", "keys", depth.alias("depth"), F.when(go, F.get("keys", F.col("depth"))).otherwise(F.col("tree")).alias("tree")))
 
 
-def layout(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Places the nodes (key, parent, first, n) of one tree depth first, children by their smallest conversation, then key."""
-    nodes = nodes.sort_values(["first", "key"], ascending=False)
+def layout(rows: list[tuple[str, str, int, int]]) -> list[tuple]:
+    """Places the nodes (key, parent, first, n) of one tree depth first, children by their smallest conversation, then key.
+
+    Gives (key, node, parent_node, start, position, above), above being the ancestors' intervals in one list.
+    """
+    rows = sorted(rows, key=lambda r: (r[2], r[0]), reverse=True)
     children: dict[str, list[int]] = {}
-    keys, parents, n = nodes["key"].tolist(), nodes["parent"].tolist(), nodes["n"].tolist()
-    for at, parent in enumerate(parents):
-        children.setdefault(parent, []).append(at)
-    known = set(keys)
-    stack = [(at, -1, 0, ()) for at, parent in enumerate(parents) if parent not in known]
-    out, start, number = [], 0, 0
+    for at, row in enumerate(rows):
+        children.setdefault(row[1], []).append(at)
+    known = {r[0] for r in rows}
+    stack = [(at, -1, 0, ()) for at, row in enumerate(rows) if row[1] not in known]
+    out, start = [], 0
     while stack:
         at, up, position, above = stack.pop()
-        out.append((keys[at], number, up, start, position, [x for pair in above for x in pair]))
-        end = start + n[at]
+        key, _, _, n = rows[at]
+        number, end = len(out), start + n
+        out.append((key, number, up, start, position, [x for pair in above for x in pair]))
         if above and above[-1][1] == start:
             below = (*above[:-1], (above[-1][0], end))
         else:
-            below = (*above, (start, end)) if n[at] else above
-        for child in children.get(keys[at], ()):
-            stack.append((child, number, position + n[at], below))
-        start, number = end, number + 1
-    made = pd.DataFrame(out, columns=["key", "node", "parent_node", "start", "position", "above"])
-    made["tree"], made["tree_id"] = nodes["tree"].iloc[0], int(nodes["first"].min())
-    return made
+            below = (*above, (start, end)) if n else above
+        for child in children.get(key, ()):
+            stack.append((child, number, position + n, below))
+        start = end
+    return out
+
+
+def layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """layout for rows (tree, key, parent, first, n) that are sorted by tree, many trees a batch."""
+    schema = pa.schema([("key", pa.string()), ("node", pa.int64()), ("parent_node", pa.int64()), ("start", pa.int64()), ("position", pa.int64()), ("above", pa.list_(pa.int64())), ("tree", pa.string()), ("tree_id", pa.int64())])
+
+    def each() -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns))
+
+    held: list[tuple] = []
+    for tree, rows in groupby(each(), key=lambda r: r[0]):
+        nodes = [r[1:] for r in rows]
+        first = min(r[2] for r in nodes)
+        held.extend((*placed, tree, first) for placed in layout(nodes))
+        if len(held) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
 def chat_trees(conversations: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
@@ -117,9 +138,8 @@ def chat_trees(conversations: DataFrame, p: ChatParams = ChatParams()) -> DataFr
         .agg(F.min("conv").alias("first"), F.array_sort(F.collect_list(F.when(F.col("last"), F.col("conv")))).alias("conv_ids"))
     )
     nodes = cut(nodes.join(encoded.select("key", F.size("tokens").cast("long").alias("n")), "key"))
-    placed = nodes.drop("conv_ids").groupBy("tree").applyInPandas(
-        layout, "key string, node long, parent_node long, start long, position long, above array<long>, tree string, tree_id long"
-    )
+    by_tree = nodes.select("tree", "key", "parent", "first", "n").repartition("tree").sortWithinPartitions("tree")
+    placed = by_tree.mapInArrow(layouts, "key string, node long, parent_node long, start long, position long, above array<long>, tree string, tree_id long")
     pair = lambda i: F.struct(F.get("above", i * 2).alias("start"), F.get("above", i * 2 + 1).alias("end"))
     count = F.floor(F.size("above") / 2).cast("int")
     last = F.col("position") + F.size("tokens") - 1
