@@ -75,7 +75,7 @@ class Summary:
 def frequent(docs: DataFrame, p: TokenParams) -> dict[str, int]:
     """Lengths in tokens of the pre-tokens that are most frequent in all documents."""
     texts = docs.select("text").where("text is not null")
-    each = max(64, min(20_000, p.collected // max(1, texts.rdd.getNumPartitions())))
+    each = max(16, min(20_000, p.collected // max(1, texts.rdd.getNumPartitions())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Summary(p.summary)
@@ -85,12 +85,11 @@ def frequent(docs: DataFrame, p: TokenParams) -> dict[str, int]:
         top = own.top(each)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], names=["piece", "n"])
 
-    total: Counter = Counter()
-    for row in texts.mapInArrow(count, "piece string, n long").toLocalIterator():
-        total[row["piece"]] += row["n"]
-    best = sorted(total.items(), key=lambda x: (-x[1], x[0]))[: p.table]
+    # one summary a task, bounded in all by p.collected
+    total = texts.mapInArrow(count, "piece string, n long").toArrow().group_by("piece").aggregate([("n", "sum")])
+    best = sorted(zip(total["n_sum"].to_pylist(), total["piece"].to_pylist()), key=lambda x: (-x[0], x[1]))[: p.table]
     enc = encoder(p.vocabulary)
-    return {piece: len(enc.encode_ordinary(piece)) for piece, _ in best}
+    return {piece: len(enc.encode_ordinary(piece)) for _, piece in best}
 
 
 class Lengths:
