@@ -24,17 +24,19 @@ from .textbytes import _WORD, lower, slices, tidy
 @dataclass(frozen=True)
 class ToxicityParams:
     """sample_rows bounds the labelled rows that are used for fitting: so many of each class at most.
-    Of these, the share ``held`` is kept back to place the cut-off."""
+    Of these, the share ``held`` is kept back to place the cut-off. blank: so many n-grams without a meaning are averaged
+    in with each text's own, so that a few n-grams of a short text don't decide by chance."""
 
     sample_rows: int = 4000
     held: float = 0.25
+    blank: int = 800
     least: int = 3
     most: int = 5
     bucket_bits: int = 18
     dims: int = 8
     epochs: int = 12
     batch: int = 64
-    rate: float = 0.3
+    rate: float = 1.0
     seed: int = 11
 
 
@@ -80,7 +82,7 @@ def _bags(texts: list[str], p: ToxicityParams) -> tuple[np.ndarray, np.ndarray,
                 parts[0].append((key & ((1 << p.bucket_bits) - 1)).astype(np.int32))
                 parts[1].append(count.astype(np.uint16))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    return bounds, _joined(parts[0], np.int32), _joined(parts[1], np.uint16), totals.astype(np.float32)
+    return bounds, _joined(parts[0], np.int32), _joined(parts[1], np.uint16), (totals + p.blank).astype(np.float32)
 
 
 def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
@@ -182,7 +184,7 @@ def score_texts(column: pa.Array, table: np.ndarray, shift: float, p: ToxicityPa
             cuts = np.searchsorted(at, offsets)
             total += sums[cuts[1:]] - sums[cuts[:-1]]
             count += np.diff(cuts)
-        out[first : first + n] = np.divide(total, count, out=np.zeros(n), where=count > 0) + np.where(count > 0, shift, -1e3)
+        out[first : first + n] = total / (count + p.blank) + np.where(count > 0, shift, -1e3)
     return out
 
 
