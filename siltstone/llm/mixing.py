@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, packed, small, word_count
+from .shared import cut, lean, packed, small, word_count
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,7 @@ def _hash(seed: int, *cols: Column) -> Column:
 
 def selection(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """doc_id, source, shard, block, tokens of the documents that are kept."""
+    lean(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("n"))
     one = rows.groupBy("doc_id", "source").agg(F.sum("n").alias("tokens"))  # repeated rows go together
     h = _hash(p.seed, F.coalesce("doc_id", F.lit(-1)))

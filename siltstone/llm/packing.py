@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import word_count
+from .shared import lean, word_count
 from .textbytes import tidy
 
 
@@ -190,6 +190,7 @@ def pack(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
     tokens and are not packed. A null doc_id is packed like others, being the largest. Ties between
     pieces of equal size go by doc_id, then start. Other columns don't matter; an empty table gives an empty result.
     """
+    lean(docs.sparkSession)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n")).where("n > 0")
     shards = max(1, round(docs.count() / p.shard_pieces))
     shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(p.seed)), F.lit(shards)).cast("long")

@@ -7,16 +7,16 @@ share of its features, times a constant; its score is the sparse dot product wit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import mix, slices, tidy, tokens
-from .toxicity import labelled
+from .toxicity import labelled, sample
 
 
 @dataclass(frozen=True)
@@ -113,17 +113,14 @@ def score_texts(column: pa.Array, weights: np.ndarray, bias: float, p: QualityPa
 def train(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> tuple[np.ndarray, float]:
     """Fits in one task, so that the driver only receives the weights."""
 
-    def run(batches):
-        got = [b for b in batches if len(b)]
-        rows = pd.concat(got).sort_values("__id", kind="stable") if got else pd.DataFrame({"__y": [], "__text": [], "__of": []})
-        y = rows["__y"].to_numpy(np.int64)
-        one = tuple(rows["__of"][y == k].max() / (y == k).sum() if (y == k).any() else 1.0 for k in (0, 1))
-        weights, bias = fit(list(rows["__text"]), y, p, one)
-        del rows, got
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, one = sample(batches)
+        weights, bias = fit(texts, y, p, one)
+        del texts
         tidy()
-        yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
-    got = labelled(docs, labels, "quality", p.sample_rows).repartition(1).mapInPandas(run, "weights binary, bias double").collect()
+    got = labelled(docs, labels, "quality", p.sample_rows).repartition(1).mapInArrow(run, "weights binary, bias double").collect()
     return (np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]) if got else (np.zeros(1 << p.bits, np.float32), 1.0)
 
 

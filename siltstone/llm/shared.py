@@ -14,6 +14,7 @@ from .textbytes import slices, tidy
 
 #: Rows of a small side are broadcast up to this many bytes (estimated); beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
+TEXT_BATCH = 1000
 
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 13, 32]] = True
@@ -37,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def lean(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most so many rows: of the default 10,000, long texts fill tens of MB in the JVM and the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
+        spark.conf.set(name, str(TEXT_BATCH))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint."""
     shared_dir(df.sparkSession)

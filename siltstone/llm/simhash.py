@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, packed, small, text_hash
+from .shared import cut, lean, packed, small, text_hash
 from .textbytes import lower, mix, slices, tidy, words
 
 WORDS = 4  # 64-bit words of a whole SimHash
@@ -149,6 +149,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             cols = [b.column(0).filter(keep), b.column(1).filter(keep), *(pa.array(sims[some, k].view(np.int64)) for k in range(WORDS))]
             yield pa.RecordBatch.from_arrays(cols, names=["__id", "__h", *(f"__s{k}" for k in range(WORDS))])
 
+    lean(docs.sparkSession)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("__id"), text_hash(F.col("text")).alias("__h"), "text")
     made = rows.mapInArrow(run, f"__id long, __h long, {_SIMS}")
     sims = [f"__s{k}" for k in range(WORDS)]

@@ -21,6 +21,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 #: How texts are split before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -74,6 +76,7 @@ class Summary:
 
 def frequent(docs: DataFrame, p: TokenParams) -> dict[str, int]:
     """Lengths in tokens of the pre-tokens that are most frequent in all documents."""
+    lean(docs.sparkSession)
     texts = docs.select("text").where("text is not null")
     each = max(16, min(20_000, p.collected // max(1, texts.rdd.getNumPartitions())))
 

@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, lean
 from .textbytes import _WORD, lower, slices, tidy
 
 
@@ -67,7 +66,7 @@ def _bags(texts: list[str], p: ToxicityParams) -> tuple[np.ndarray, np.ndarray,
     parts: tuple[list, list] = ([], [])
     sizes, totals = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     for lo in range(0, len(texts), 256):
-        for at_row, buf, offsets in slices(pa.array(texts[lo : lo + 256], pa.large_string())):
+        for at_row, buf, offsets in slices(pa.array(texts[lo : lo + 256], pa.large_string()), 1 << 18):
             buf, n, first = lower(buf), len(offsets) - 1, lo + at_row
             own = []
             for at, bucket in gram_buckets(buf, p.least, p.most, p.bucket_bits):
@@ -194,6 +193,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataF
     Rows without identifier or label are not used; an identifier with several labels takes the largest,
     one with several texts the first in order.
     """
+    lean(docs.sparkSession)
     ids = (
         labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y"))
         .where("__id is not null and __y in (0, 1)")
@@ -212,21 +212,26 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataF
     return texts.join(F.broadcast(pick), "__id").groupBy("__id", "__y", "__of").agg(F.min("__text").alias("__text"))
 
 
+def sample(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray, tuple[float, float]]:
+    """Of the rows of :func:`labelled`: texts and labels in the order of identifiers, and how many labelled rows one of each class stands for."""
+    rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))  # __id, __y, __of, __text
+    y = np.array([r[1] for r in rows], np.int64)
+    one = tuple(max((r[2] for r in rows if r[1] == k), default=1) / max((y == k).sum(), 1) for k in (0, 1))
+    return [r[3] for r in rows], y, one
+
+
 def train(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> tuple[np.ndarray, float, float]:
     """Fits in one task, so that the driver only receives the folded model."""
 
-    def run(batches):
-        got = [b for b in batches if len(b)]
-        rows = pd.concat(got).sort_values("__id", kind="stable") if got else pd.DataFrame({"__y": [], "__text": [], "__of": []})
-        y = rows["__y"].to_numpy(np.int64)
-        one = tuple(rows["__of"][y == k].max() / (y == k).sum() if (y == k).any() else 1.0 for k in (0, 1))
-        table, shift, least = fit(list(rows["__text"]), y, p, one)
-        del rows, got
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, one = sample(batches)
+        table, shift, least = fit(texts, y, p, one)
+        del texts
         tidy()
-        yield pd.DataFrame({"model": [table.tobytes()], "shift": [shift], "least": [least]})
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([shift]), pa.array([least])], names=["model", "shift", "least"])
 
     rows = labelled(docs, labels, "toxic", p.sample_rows)
-    got = rows.repartition(1).mapInPandas(run, "model binary, shift double, least double").collect()
+    got = rows.repartition(1).mapInArrow(run, "model binary, shift double, least double").collect()
     if not got:
         return np.zeros(1 << p.bucket_bits, np.float32), -1.0, 0.0
     return np.frombuffer(got[0]["model"], np.float32), got[0]["shift"], got[0]["least"]
