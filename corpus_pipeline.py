@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.exact_dedup import drop_exact
-from siltstone.llm.mixing import keep_mixture
+from siltstone.llm.mixing import MixParams, keep_mixture
 from siltstone.llm.packing import pack
 from siltstone.llm.shared import shared_dir
 from siltstone.llm.simhash import drop_near
@@ -30,8 +30,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the blocks of each source that bring the sources to their weights."""
-    return keep_mixture(docs)
+    """Keeps nine tenths of the blocks; those that go are of the sources that are furthest above their weights."""
+    return keep_mixture(docs, MixParams(share=0.9))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,13 +23,16 @@ from .shared import cut, lean, packed, small, word_count
 @dataclass(frozen=True)
 class MixParams:
     """weights: each source's target share of the tokens (others get none); None: in proportion to the square
-    roots of the sources' tokens. blocks: how many to keep; None: as many as the weights allow without repeating any."""
+    roots of the sources' tokens. blocks: how many to keep; None: the ``share`` of the blocks of all weighted sources, where a
+    source that runs out leaves its seats to the others; without a share as many as meet the weights without repeating any,
+    so that the scarcest source bounds them all."""
 
     weights: tuple[tuple[str, float], ...] | None = None
     blocks: int | None = None
     block_tokens: int = 2048
     shards: int = 8
     seed: int = 29
+    share: float | None = None
 
 
 def apportion(weights: Sequence[float], caps: Sequence[int], seats: int) -> np.ndarray:
@@ -87,7 +90,12 @@ def quotas(counted: list[tuple], p: MixParams) -> list[tuple]:
     names = sorted(supply, key=lambda s: (s is None, s))
     given = dict(p.weights) if p.weights is not None else {s: math.sqrt(tokens[s]) for s in names}
     w = [float(given.get(s, 0.0)) for s in names]
-    total = most_blocks(w, [supply[s] for s in names]) if p.blocks is None else p.blocks
+    if p.blocks is not None:
+        total = p.blocks
+    elif p.share is not None:
+        total = math.ceil(p.share * sum(supply[s] for s, x in zip(names, w) if x > 0) - 1e-9)
+    else:
+        total = most_blocks(w, [supply[s] for s in names])
     out = []
     for source, quota in zip(names, apportion(w, [supply[s] for s in names], total)):
         own = sorted((shard, blocks) for s, shard, blocks, _ in counted if s == source)

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siltstone.llm import chat, exact_dedup, mixing, packing, quality, simhash, textbytes, token_counts, topk, toxicity, warc
 
 RNG = np.random.default_rng(7)
@@ -143,6 +144,21 @@ def test_mixture_meets_its_weights(spark):
     assert mixing.mix_sources(rows, p).count() == mixing.mix_sources(rows.repartition(7), p).count()
 
 
+@pytest.mark.parametrize("name", ["tiny", None])
+def test_tiny_source_does_not_shrink_the_pipeline_s_mixture(spark, name):
+    rows = [(k, "word " * 500, f"src{k % 4}") for k in range(1600)] + [(1600, "word " * 2000, name)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.mix(spark, docs, "")
+    assert kept.count() >= 0.85 * len(rows)
+    assert kept.where(F.col("source").eqNullSafe(name)).count() == 1
+
+
+def test_source_that_runs_out_leaves_its_seats():
+    counted = [("a", 0, 3, 3000), ("b", 0, 100, 100000), ("c", 0, 60, 60000)]
+    got = {s: q for s, _, q in mixing.quotas(counted, mixing.MixParams(weights=(("a", 1.0), ("b", 1.0), ("c", 1.0)), share=0.5))}
+    assert got == {"a": 3, "b": 40, "c": 39}
+
+
 # -- 4 packing
 
 
