@@ -10,9 +10,11 @@ in which members are led once more, so that every text of a group is a verified
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,15 @@ from .textbytes import lower, mix, slices, tidy, words
 
 WORDS = 4  # 64-bit words of a whole SimHash
 BITS = 64 * WORDS
+ROUND = 6  # tables whose keys are shuffled at once
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
 
 @dataclass(frozen=True)
 class SimHashParams:
-    """flip is the share of bits in which near copies are expected to differ at most, recall the share of
-    such pairs that must meet; apart is the largest share of differing bits of a verified pair. From these and
-    the number of texts come the bits of a fingerprint (so wide that chance meetings stay rare) and the tables."""
+    """apart is the largest share of differing bits of a verified pair, recall the share of pairs that far apart that
+    must meet; flip, if larger, is planned for instead. From these and the number of texts come the bits of a
+    fingerprint (so wide that chance meetings stay rare) and the tables."""
 
     flip: float = 0.1
     recall: float = 0.92
@@ -41,7 +44,8 @@ class SimHashParams:
 
     def plan(self, n: int) -> tuple[int, int]:
         bits = max(self.least_bits, min(60, math.ceil(math.log2(max(n, 1))) + self.spare_bits))
-        meets = sum(math.comb(bits, k) * self.flip**k * (1 - self.flip) ** (bits - k) for k in range(3))
+        flip = max(self.flip, self.apart)
+        meets = sum(math.comb(bits, k) * flip**k * (1 - flip) ** (bits - k) for k in range(3))
         return bits, math.ceil(math.log(1 - self.recall) / math.log(1 - meets))
 
 
@@ -76,12 +80,13 @@ def simhashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, some
 
 
-def balls(sims: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """n x tables x (bits + 1): each fingerprint and its variants at distance 1, hashed together with the table's number."""
+def balls(sims: np.ndarray, bits: int, tables: int, first: int = 0) -> np.ndarray:
+    """n x tables x (bits + 1): each fingerprint of the tables from ``first`` on and its variants at distance 1, hashed together with the table's number."""
     flips = np.concatenate([[0], 1 << np.arange(bits, dtype=np.int64)]).astype(np.uint64)
     out = np.empty((len(sims), tables, bits + 1), np.uint64)
     for t in range(tables):
-        out[:, t] = mix((fingerprint(sims, t, bits)[:, None] ^ flips) * np.uint64(64) + np.uint64(t))
+        salt = mix(np.array([first + t + 1], np.uint64))
+        out[:, t] = mix(fingerprint(sims, first + t, bits)[:, None] ^ flips ^ salt)
     return out
 
 
@@ -166,12 +171,12 @@ def groups(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     bits, tables = p.plan(nodes.count())
     most = int(p.apart * BITS)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(first: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 500):
                 part = b.slice(lo, 500)
                 s = np.stack([part.column(k).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
-                keys = balls(s, bits, tables)
+                keys = balls(s, bits, min(ROUND, tables - first), first)
                 each = keys.shape[1] * keys.shape[2]
                 node = np.repeat(part.column(WORDS).to_numpy(), each)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
@@ -207,10 +212,19 @@ def groups(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(ids[order][to])], names=["node", "__to"])
 
     node = F.xxhash64(*sims)
-    emitted = nodes.select(*sims, node.alias("node")).mapInArrow(emit, "key long, node long")
-    # a task sorts the keys that it gets; what it gets is bounded by the size of a shuffle partition
-    met = emitted.repartition("key").mapInArrow(meet, "nodes array<long>").distinct()
-    members = cut(met.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))).join(nodes.select(node.alias("node"), *sims), "node")
+
+    def met(first: int) -> DataFrame:
+        emitted = nodes.select(*sims, node.alias("node")).mapInArrow(partial(emit, first), "key long, node long")
+        # a task sorts the keys that it gets; what it gets is bounded by the size of a shuffle partition
+        lists = emitted.repartition("key").mapInArrow(meet, "nodes array<long>").distinct()
+        return cut(lists.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")))
+
+    rounds = []
+    for first in range(0, tables, ROUND):
+        rounds.append(met(first))
+        gc.collect()  # shuffle files stay until the driver collects what refers to them
+        docs.sparkSession.sparkContext._jvm.System.gc()
+    members = reduce(DataFrame.unionAll, rounds).join(nodes.select(node.alias("node"), *sims), "node")
     listed = members.groupBy("bucket", F.col("node")).agg(*[F.first(c).alias(c) for c in sims]).groupBy("bucket").agg(F.collect_list(F.struct("node", *sims)).alias("members"))
     pairs = cut(listed.select("members").mapInArrow(lead_buckets, "a long, b long").distinct())
     # what is linked through others only is parted again: a component's members go to leaders, smallest doc_id first

@@ -103,6 +103,27 @@ def test_near_copies_are_found_and_others_left(spark):
     assert sum(name(a) == name(b) for a, b in pairs) >= 0.9 * len(pairs)
 
 
+def test_isolated_pairs_meet_over_the_whole_accepted_distance(spark):
+    rng = np.random.default_rng(3)
+    texts, word = [], itertools.count()
+    for g in range(900):  # no word is in two pairs, so nothing links them
+        base = [f"w{next(word)}" for _ in range(100)]
+        copy = list(base)
+        for at in rng.choice(100, 2 + g % 24, replace=False):
+            copy[at] = f"w{next(word)}"
+        texts += [" ".join(base), " ".join(copy)]
+    sims, _ = simhash.simhashes(pa.array(texts))
+    apart = np.bitwise_count(sims[::2] ^ sims[1::2]).sum(1)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(rows).collect()}
+    found = np.array([got.get(2 * g + 1) == 2 * g for g in range(900)])
+    for lo, hi in ((0, 25), (26, 31), (32, 37), (38, 43)):
+        band = (apart >= lo) & (apart <= hi)
+        assert band.sum() >= 50
+        assert found[band].mean() >= 0.9, (lo, hi, found[band].mean(), int(band.sum()))
+    assert not found[apart > 43].any()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(k, k + 1) for k in range(500, 560)]
