@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from compare import DIR
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,7 @@ from siltstone.operators import metrics as E
 from siltstone.operators import retrieval as R
 from siltstone.operators.chunking import chunk_documents, parents, spans, sync
 from siltstone.operators.dataset import grouped_split
+from siltstone.plans import QUERIES
 
 
 def one(spark, column, **values):
@@ -256,3 +258,15 @@ def test_zstd_round_trip(spark):
 
     rows = spark.createDataFrame([("hello " * 50,), (None,), ("",)], "t string").select("t", unzstd(zstd(F.encode("t", "utf-8"))).cast("string").alias("u"))
     assert all(r["t"] == r["u"] for r in rows.collect())
+
+
+def test_ivf_finds_what_exact_search_finds(spark):
+    def hits(name):
+        out = {}
+        for r in QUERIES[name](spark, DIR).collect():
+            out.setdefault(r["query_id"], set()).add(r["chunk_id"])
+        return out
+
+    want, got = hits("f1_dense_topk_exact"), hits("f2_dense_topk_ivf")
+    recall = [len(got[q] & want[q]) / len(want[q]) for q in want]
+    assert min(recall) >= 0.9, sum(recall) / len(recall)
