@@ -14,6 +14,7 @@ from .textbytes import slices, tidy
 
 #: Rows of a small side are broadcast up to this many bytes (estimated); beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
+ROW_OVERHEAD = 64  # what a row of a broadcast hash relation takes besides its fields
 TEXT_BATCH = 1000
 
 _GAP = np.zeros(256, dtype=bool)
@@ -53,7 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df``, marked for broadcast if its counted rows are small; for checkpointed inputs, so counting is cheap."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.count() * (row_bytes + ROW_OVERHEAD) <= BROADCAST_BYTES else df
 
 
 def packed(rows: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean
+from .shared import lean, word_count
+from .textbytes import tidy
 
 #: How texts are split before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,7 +35,7 @@ class TokenParams:
 
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     summary: int = 100_000
-    collected: int = 2_000_000  # entries of all summaries together
+    collected: int = 400_000  # entries of all summaries together that the driver gets; one at least of a task
     table: int = 65_536
     cache: int = 500_000
 
@@ -51,6 +52,21 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _encoders[path]
 
 
+def counter(vocabulary: str | None):
+    """A function from a text column to its tokens by a rank file, or to its words if there is none; null and empty texts have 0."""
+    if vocabulary is None:
+        return word_count
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        enc = encoder(vocabulary)
+        out = [len(enc.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()]
+        tidy()
+        return pa.array(out, pa.int64())
+
+    return count
+
+
 _split = regex.compile(PATTERN)
 
 
@@ -78,7 +94,7 @@ def frequent(docs: DataFrame, p: TokenParams) -> dict[str, int]:
     """Lengths in tokens of the pre-tokens that are most frequent in all documents."""
     lean(docs.sparkSession)
     texts = docs.select("text").where("text is not null")
-    each = max(16, min(20_000, p.collected // max(1, texts.rdd.getNumPartitions())))
+    each = max(1, min(20_000, p.collected // max(1, texts.rdd.getNumPartitions())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Summary(p.summary)
