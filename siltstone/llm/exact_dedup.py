@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, packed, second_hash, small, text_hash
@@ -176,13 +176,23 @@ def repeated_digests(docs: DataFrame, hi: Column, lo: Column, p: DedupParams) ->
     return cut(runs.groupBy("prefix").applyInPandas(compact, "__hi long, __lo long, __least long"))
 
 
-def _verified(rows: DataFrame) -> DataFrame:
-    """Among rows whose digest is repeated: __n, the place within the rows with the very same bytes, and __keep, their smallest doc_id.
+def _classes(rows: DataFrame) -> DataFrame:
+    """(__hi, __lo, __same, __keep): the texts among rows whose digest is repeated, with their smallest doc_id; checkpointed.
 
-    The window sorts by text within a digest, so texts are compared byte by byte.
+    Grouping by text compares bytes, and combines equal texts in every task before they are shuffled, so a text that a third of
+    all rows have is one row of each task. __same is null, or, where different texts share a digest, the text.
     """
-    same = Window.partitionBy("__hi", "__lo", "text")
-    return rows.withColumn("__n", F.row_number().over(same.orderBy(F.asc_nulls_last("doc_id")))).withColumn("__keep", F.min("doc_id").over(same))
+    texts = rows.groupBy("__hi", "__lo", "text").agg(F.min("doc_id").alias("__keep"))
+    texts = cut(texts)
+    mixed = small(cut(texts.groupBy("__hi", "__lo").agg(F.count("*").alias("__n")).where("__n > 1").select("__hi", "__lo", F.lit(True).alias("__mixed"))), 24)
+    return texts.join(mixed, ["__hi", "__lo"], "left").select("__hi", "__lo", F.when(F.col("__mixed"), F.col("text")).alias("__same"), "__keep")
+
+
+def _named(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with their text's __keep. Joined by digest; texts are only compared where the digest doesn't decide."""
+    classes = small(classes, 48)
+    on = [rows[c] == classes[c] for c in ("__hi", "__lo")]
+    return rows.join(classes, [*on, classes["__same"].isNull() | (classes["__same"] == rows["text"])]).drop(classes["__hi"]).drop(classes["__lo"])
 
 
 def exact_dedup(docs: DataFrame, p: DedupParams = DedupParams(), hi: Column | None = None, lo: Column | None = None) -> DataFrame:
@@ -197,14 +207,25 @@ def exact_dedup(docs: DataFrame, p: DedupParams = DedupParams(), hi: Column | No
     seen = small(repeated_digests(docs, hi, lo, p), 40)
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", hi.alias("__hi"), lo.alias("__lo"))
     met = rows.join(seen, ["__hi", "__lo"], "left_semi")
-    return _verified(met).where("__n > 1").select("doc_id", F.col("__keep").alias("keep_id"))
+    named = _named(met, _classes(met)).select("doc_id", "__hi", "__lo", "__same", "__keep")
+    stays = F.col("doc_id").eqNullSafe(F.col("__keep"))
+    # of the rows that have the smallest identifier one stays
+    again = named.where(stays).groupBy("__hi", "__lo", "__same", "__keep").agg(F.count("*").alias("__n")).where("__n > 1")
+    again = again.select(F.col("__keep").alias("doc_id"), F.col("__keep").alias("keep_id"), F.explode(F.sequence(F.lit(2).cast("long"), "__n")))
+    return named.where(~stays).select("doc_id", F.col("__keep").alias("keep_id")).unionAll(again.select("doc_id", "keep_id"))
 
 
 def drop_exact(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
-    """``docs`` with one row for each text, chosen as :func:`exact_dedup` does; rows with null texts stay."""
+    """``docs`` with one row for each text, chosen as :func:`exact_dedup` does; rows with null texts stay.
+
+    Empty texts are equal to each other; a null doc_id counts as the largest. Of rows that are alike in text and doc_id any one stays.
+    An empty table gives an empty result, and columns of any name are kept as they are.
+    """
     hi, lo = text_hash(F.col("text")), second_hash(F.col("text"))
     seen = small(repeated_digests(docs, hi, lo, p), 40)
     rows = packed(docs).select("row", "row.doc_id", "row.text").withColumns({"__hi": hi, "__lo": lo})
     once = rows.join(seen, ["__hi", "__lo"], "left_anti")
     met = rows.where("text is not null").join(seen, ["__hi", "__lo"], "left_semi")
-    return once.select("row.*").unionAll(_verified(met).where("__n = 1").select("row.*"))
+    first = _named(met, _classes(met.select("__hi", "__lo", "doc_id", "text"))).where(F.col("doc_id").eqNullSafe(F.col("__keep")))
+    one = first.groupBy("__hi", "__lo", "__same").agg(F.first("row").alias("row"))
+    return once.select("row.*").unionAll(one.select("row.*"))
