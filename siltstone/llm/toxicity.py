@@ -3,7 +3,7 @@
 Both layers are trained jointly, in numpy, on a bounded sample of labelled rows. Since a score is
 linear in the averaged embedding, a trained model is folded into one number per n-gram bucket; scoring
 then is a sum of looked-up numbers over the whole text. A misspelt word shares most n-grams with the
-word it comes from, and so its vector.
+word it comes from, and so its vector. Characters are code points, lower-cased by Unicode's rules.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, lean
-from .textbytes import _WORD, lower, slices, tidy
+from .textbytes import _WORD, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -39,16 +40,33 @@ class ToxicityParams:
     seed: int = 11
 
 
-def gram_buckets(buf: np.ndarray, least: int, most: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length: the start and the bucket of every n-gram of word bytes, which may begin or end at a word's edge."""
-    inside = _WORD[buf]
-    flat = np.where(inside, buf, 32).astype(np.uint32)
+def points(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of a slice of UTF-8 as numbers, and the rows' offsets in them."""
+    at = np.flatnonzero((buf & 0xC0) != 0x80)
+    if len(at) == len(buf):
+        return buf.astype(np.uint32), offsets
+    out = buf[at].astype(np.uint32)
+    long = np.flatnonzero(out >= 0xC0)
+    lead = out[long]
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    value = lead & (np.uint32(0x7F) >> size.astype(np.uint32))
+    for k in range(1, 4):
+        own = size > k
+        value[own] = value[own] << np.uint32(6) | buf[at[long[own]] + k] & np.uint32(0x3F)
+    out[long] = value
+    return out, np.searchsorted(at, offsets)
+
+
+def gram_buckets(chars: np.ndarray, least: int, most: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: the start and the bucket of every n-gram of word characters, which may begin or end at a word's edge."""
+    inside = _WORD[np.minimum(chars, 128)]
+    flat = np.where(inside, chars, np.uint32(32))
     h = flat * np.uint32(0x01000193)
-    ok = np.ones(len(buf), dtype=bool)
+    ok = np.ones(len(flat), dtype=bool)
     for n in range(2, most + 1):
-        if len(buf) < n:
+        if len(flat) < n:
             return
-        m = len(buf) - n + 1
+        m = len(flat) - n + 1
         h = (h[:m] ^ flat[n - 1 :]) * np.uint32(0x01000193)
         if n > 2:
             ok = ok[:m] & inside[n - 2 : n - 2 + m]
@@ -61,21 +79,34 @@ def gram_buckets(buf: np.ndarray, least: int, most: int, bits: int) -> Iterator[
             yield at, (g ^ (g >> np.uint32(13))) >> np.uint32(32 - bits)
 
 
+def _slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """:func:`slices` of lower-cased texts, as characters."""
+    for first, buf, offsets in slices(pc.utf8_lower(column), limit):
+        yield first, *points(buf, offsets)
+
+
 def _bags(texts: list[str], p: ToxicityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The n-grams of all texts, one entry for each bucket of a row: where rows begin, buckets, counts, and the rows' sums of counts."""
+    """The n-grams of all texts, by row and bucket: where rows begin, buckets, counts, and the rows' sums of counts.
+
+    Counts take two bytes; a larger one is several entries of the same bucket.
+    """
     parts: tuple[list, list] = ([], [])
     sizes, totals = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     for lo in range(0, len(texts), 256):
-        for at_row, buf, offsets in slices(pa.array(texts[lo : lo + 256], pa.large_string()), 1 << 18):
-            buf, n, first = lower(buf), len(offsets) - 1, lo + at_row
+        for at_row, chars, offsets in _slices(pa.array(texts[lo : lo + 256], pa.large_string()), 1 << 18):
+            n, first = len(offsets) - 1, lo + at_row
             own = []
-            for at, bucket in gram_buckets(buf, p.least, p.most, p.bucket_bits):
+            for at, bucket in gram_buckets(chars, p.least, p.most, p.bucket_bits):
                 rows = np.searchsorted(offsets, at, side="right") - 1
                 own.append((rows.astype(np.int64) << p.bucket_bits) | bucket)
             if own:
                 key, count = np.unique(np.concatenate(own), return_counts=True)
+                if count.size and count.max() > 65535:
+                    times = -(-count // 65535)
+                    key, left = np.repeat(key, times), np.repeat(count, times)
+                    place = np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times)
+                    count = np.minimum(left - 65535 * place, 65535)
                 rows = key >> p.bucket_bits
-                count = np.minimum(count, 65535)
                 sizes[first : first + n] = np.bincount(rows, minlength=n)
                 totals[first : first + n] = np.bincount(rows, weights=count, minlength=n)
                 parts[0].append((key & ((1 << p.bucket_bits) - 1)).astype(np.int32))
@@ -175,10 +206,10 @@ def _cut_off(score: np.ndarray, y: np.ndarray, stands_for: tuple[float, float])
 
 def score_texts(column: pa.Array, table: np.ndarray, shift: float, p: ToxicityParams) -> np.ndarray:
     out = np.zeros(len(column))
-    for first, buf, offsets in slices(column):
+    for first, chars, offsets in _slices(column):
         n = len(offsets) - 1
         total, count = np.zeros(n), np.zeros(n)
-        for at, bucket in gram_buckets(lower(buf), p.least, p.most, p.bucket_bits):
+        for at, bucket in gram_buckets(chars, p.least, p.most, p.bucket_bits):
             sums = np.concatenate([[0.0], np.cumsum(table[bucket], dtype=np.float64)])
             cuts = np.searchsorted(at, offsets)
             total += sums[cuts[1:]] - sums[cuts[:-1]]
@@ -264,6 +295,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityPar
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
-    """The rows of ``docs`` that :func:`toxicity` does not reject, with all their columns."""
+    """The rows of ``docs`` that :func:`toxicity` does not reject, with all their columns, whatever these are named.
+
+    Null, empty and letterless texts stay, repeated rows stay or go together; without labels of both classes all rows stay.
+    """
     above = log_odds(docs, labels, p)
     return docs.where(above(F.col("text")) < 0)
