@@ -1,10 +1,11 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
-A text has a SimHash of ``tables`` x ``bits`` bits over its set of words. Each table's fingerprint emits
+A text has a SimHash of 256 bits over its set of words, of which each table takes ``bits`` as its fingerprint. A fingerprint emits
 itself and all its variants at distance 1, half the radius of 2: two fingerprints within the radius meet
 at a variant, whatever bits they differ in. Texts that meet are verified by the distance of their whole
 SimHash; in a bucket every member is compared with a leader, and those that fail find another leader
-among themselves, so large buckets need neither a cap nor all pairs. Verified pairs are joined to components,
+among themselves, so large buckets need neither a cap nor all pairs. What has one fingerprint is led in the task that
+emits it, so that of a large group of copies few are shuffled to a bucket. Verified pairs are joined to components,
 in which members are led once more, so that every text of a group is a verified near copy of the one that stays.
 """
 
@@ -32,21 +33,19 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.
 
 @dataclass(frozen=True)
 class SimHashParams:
-    """apart is the largest share of differing bits of a verified pair, recall the share of pairs that far apart that
-    must meet; flip, if larger, is planned for instead. From these and the number of texts come the bits of a
-    fingerprint (so wide that chance meetings stay rare) and the tables."""
+    """bits: of a table's fingerprint; wider ones meet by chance more seldom and need more tables. apart is the largest share of
+    differing bits of a verified pair, recall the share of pairs that far apart that must meet; the number of tables follows from
+    these three alone. group: members of a component that are led in one row."""
 
-    flip: float = 0.1
+    bits: int = 32
     recall: float = 0.92
     apart: float = 0.17
-    least_bits: int = 32
-    spare_bits: int = 12
+    group: int = 20_000
 
-    def plan(self, n: int) -> tuple[int, int]:
-        bits = max(self.least_bits, min(60, math.ceil(math.log2(max(n, 1))) + self.spare_bits))
-        flip = max(self.flip, self.apart)
-        meets = sum(math.comb(bits, k) * flip**k * (1 - flip) ** (bits - k) for k in range(3))
-        return bits, math.ceil(math.log(1 - self.recall) / math.log(1 - meets))
+    @property
+    def tables(self) -> int:
+        meets = sum(math.comb(self.bits, k) * self.apart**k * (1 - self.apart) ** (self.bits - k) for k in range(3))
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - meets))
 
 
 def simhashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,24 +165,38 @@ def groups(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     sims = [f"__s{k}" for k in range(WORDS)]
     rows = cut(sketches(docs))
     order = F.struct(F.coalesce("__id", F.lit(2**63 - 1)).alias("i"), F.col("__h").alias("h"))
-    # equal SimHashes are one node from here on; __node is unique, being a hash of the SimHash's words joined back by them
-    nodes = cut(rows.groupBy(*sims).agg(F.min(order).alias("__least")))
-    bits, tables = p.plan(nodes.count())
-    most = int(p.apart * BITS)
+    # equal SimHashes are one node from here on
+    nodes = cut(rows.groupBy(*sims).agg(F.min(order).alias("__least")).withColumn("node", F.monotonically_increasing_id()))
+    bits, tables, most = p.bits, p.tables, int(p.apart * BITS)
 
     def emit(first: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, len(b), 500):
-                part = b.slice(lo, 500)
-                s = np.stack([part.column(k).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
-                keys = balls(s, bits, min(ROUND, tables - first), first)
-                each = keys.shape[1] * keys.shape[2]
-                node = np.repeat(part.column(WORDS).to_numpy(), each)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
+        """Keys and nodes. Of nodes with one fingerprint, whose balls are the same, those that are near a leader are paired with it (to) and send no keys."""
+        for s, ids in _held(batches):
+            for t in range(first, min(tables, first + ROUND)):
+                print_ = fingerprint(s, t, bits)
+                by = np.lexsort((ids, print_))
+                cuts = np.flatnonzero(np.concatenate([[True], print_[by][1:] != print_[by][:-1], [True]]))
+                to = lead(cuts, s[by], most)
+                leads = to == np.arange(len(by))
+                member, own = by[~leads], by[leads]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[member]), pa.array(ids[by[to[~leads]]]), pa.array(ids[member])], names=["key", "node", "to"])
+                for lo in range(0, len(own), 4000):
+                    part = own[lo : lo + 4000]
+                    keys = balls(s[part], bits, 1, t)
+                    node = np.repeat(ids[part], keys.shape[2])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node), pa.nulls(len(node), pa.int64())], names=["key", "node", "to"])
         tidy()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+        held = []
+        for b in batches:
+            if b.column(2).null_count < len(b):
+                pairs = b.filter(b.column(2).is_valid())
+                both = np.stack([pairs.column(k).to_numpy() for k in (1, 2)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(both) + 1, 2), pa.int32()), pa.array(np.sort(both, axis=1).reshape(-1)))], names=["nodes"])
+                b = b.filter(b.column(2).is_null())
+            if len(b):
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
         if held:
             offsets, nodes = buckets(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
             del held
@@ -202,19 +215,8 @@ def groups(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
             apart = to != np.arange(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(ids[to[apart]]), pa.array(ids[apart])], names=["a", "b"])
 
-    def lead_component(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lens, members = b.column(0).value_lengths().to_numpy(), b.column(0).flatten()
-            i, h, ids = (members.field(k).to_numpy() for k in range(3))
-            s = np.stack([members.field(k + 3).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
-            order = np.lexsort((h, i, np.repeat(np.arange(len(lens)), lens)))
-            to = lead(np.concatenate([[0], np.cumsum(lens)]), s[order], most)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(ids[order][to])], names=["node", "__to"])
-
-    node = F.xxhash64(*sims)
-
     def met(first: int) -> DataFrame:
-        emitted = nodes.select(*sims, node.alias("node")).mapInArrow(partial(emit, first), "key long, node long")
+        emitted = nodes.select(*sims, "node").mapInArrow(partial(emit, first), "key long, node long, to long")
         # a task sorts the keys that it gets; what it gets is bounded by the size of a shuffle partition
         lists = emitted.repartition("key").mapInArrow(meet, "nodes array<long>").distinct()
         return cut(lists.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")))
@@ -224,20 +226,97 @@ def groups(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
         rounds.append(met(first))
         gc.collect()  # shuffle files stay until the driver collects what refers to them
         docs.sparkSession.sparkContext._jvm.System.gc()
-    members = reduce(DataFrame.unionAll, rounds).join(nodes.select(node.alias("node"), *sims), "node")
+    members = reduce(DataFrame.unionAll, rounds).join(nodes.select("node", *sims), "node")
     listed = members.groupBy("bucket", F.col("node")).agg(*[F.first(c).alias(c) for c in sims]).groupBy("bucket").agg(F.collect_list(F.struct("node", *sims)).alias("members"))
     pairs = cut(listed.select("members").mapInArrow(lead_buckets, "a long, b long").distinct())
     # what is linked through others only is parted again: a component's members go to leaders, smallest doc_id first
     linked = components(pairs)
-    linked = linked.unionAll(linked.select(F.col("__to").alias("node"), "__to").distinct()).join(nodes.select(node.alias("node"), "__least", *sims), "node")
-    parted = linked.groupBy("__to").agg(F.collect_list(F.struct("__least.i", "__least.h", "node", *sims)).alias("members"))
-    linked = cut(parted.select("members").mapInArrow(lead_component, "node long, __to long"))
-    named = nodes.select(node.alias("node"), *sims).join(small(linked, 40), "node", "left").withColumn("__to", F.coalesce("__to", "node"))
+    linked = linked.unionAll(linked.select(F.col("__to").alias("node"), "__to").distinct()).join(nodes, "node").select("__to", "__least.i", "__least.h", "node", *sims)
+    linked = parted(cut(linked), most, p.group)
+    named = nodes.select("node", *sims).join(small(linked, 40), "node", "left").withColumn("__to", F.coalesce("__to", "node"))
     full = rows.join(named, sims).select("__id", "__h", "__n", "__to")
     first = full.groupBy("__to").agg(F.min(order).alias("__least"), F.sum("__n").alias("__rows")).where("__rows > 1")
     return cut(full.join(first, "__to").select("__id", "__h", "__n", "__to", (order == F.col("__least")).alias("__first"), F.col("__least.i").alias("__keep")))
 
 
+def _held(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """SimHashes and nodes of a task, many at a time."""
+    held, n = [], 0
+    for b in batches:
+        held.append((np.stack([b.column(k).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1), b.column(WORDS).to_numpy()))
+        n += len(b)
+        if n >= most:
+            yield np.concatenate([s for s, _ in held]), np.concatenate([i for _, i in held])
+            held, n = [], 0
+    if n:
+        yield np.concatenate([s for s, _ in held]), np.concatenate([i for _, i in held])
+
+
+def _members(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of (i, h, node, SimHash): offsets, and the members' fields, in the order of i and h within a list."""
+    lens, members = column.value_lengths().to_numpy(), column.flatten()
+    i, h, ids = (members.field(k).to_numpy() for k in range(3))
+    s = np.stack([members.field(k + 3).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
+    order = np.lexsort((h, i, np.repeat(np.arange(len(lens)), lens)))
+    return np.concatenate([[0], np.cumsum(lens)]), i[order], h[order], ids[order], s[order]
+
+
+def parted(linked: DataFrame, most: int, group: int, heads: int = 256) -> DataFrame:
+    """(node, __to): members (__to, i, h, node, SimHash) of checkpointed components, each with the leader that it is near to.
+
+    A component of up to ``group`` members is led in one row. Larger ones are led in rows of about that many: the leaders of all rows,
+    the first ``heads`` of them, are led again, all members are held against those that remain, and
+    members that are near none of them go on in the same way, until there are none.
+    """
+    sims = [f"__s{k}" for k in range(WORDS)]
+    fields = F.struct("i", "h", "node", *sims)
+    typed = "i long, h long, node long, " + _SIMS
+
+    def lead_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, _, _, ids, s = _members(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[lead(offsets, s, most)])], names=["node", "__to"])
+
+    def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, i, h, ids, s = _members(b.column(1))
+            on = lead(offsets, s, most) == np.arange(len(ids))
+            of = np.repeat(b.column(0).to_numpy(), np.diff(offsets))[on]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of, i[on], h[on], ids[on], *(s[on, k].view(np.int64) for k in range(WORDS)))], names=["__to", "i", "h", "node", *sims])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, _, _, ids, s = _members(b.column(0))
+            starts, _, _, names, own = _members(b.column(1))
+            to = np.full(len(ids), -1)
+            for row in range(len(b)):
+                mine = np.arange(offsets[row], offsets[row + 1])
+                for head in range(starts[row], starts[row + 1]):
+                    near = np.bitwise_count(s[mine] ^ own[head]).sum(1) <= most
+                    to[mine[near]] = names[head]
+                    mine = mine[~near]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(to, mask=to < 0)], names=["node", "__to"])
+
+    size = cut(linked.groupBy("__to").agg(F.count("*").alias("__c")).where(F.col("__c") > group))
+    one_row = lambda rows, *by: rows.groupBy(*by).agg(F.collect_list(fields).alias("members"))
+    if size.isEmpty():
+        return cut(one_row(linked, "__to").select("members").mapInArrow(lead_all, "node long, __to long"))
+    done = one_row(linked.join(small(size, 24), "__to", "left_anti"), "__to").select("members").mapInArrow(lead_all, "node long, __to long")
+    rest = linked.join(small(size, 24), "__to", "left_semi")
+    while True:
+        size = small(cut(rest.groupBy("__to").agg(F.ceil(F.count("*") / F.lit(group)).alias("__c"))), 24)
+        lists = cut(one_row(rest.join(size, "__to").withColumn("__salt", F.pmod(F.xxhash64("node"), "__c")), "__to", "__salt"))
+        local = lists.select("__to", "members").mapInArrow(leaders, "__to long, " + typed)
+        first = local.withColumn("__n", F.row_number().over(Window.partitionBy("__to").orderBy("i", "h"))).where(F.col("__n") <= heads)
+        led = one_row(first, "__to").mapInArrow(leaders, "__to long, " + typed)
+        found = small(cut(one_row(led, "__to").withColumnRenamed("members", "heads")), 64 * heads)
+        now = cut(lists.join(found, "__to").select("members", "heads").mapInArrow(assign, "node long, __to long"))
+        done = done.unionAll(now.where("__to is not null"))
+        rest = cut(rest.join(now.where("__to is null").select("node"), "node", "left_semi"))
+        if rest.isEmpty():
+            return cut(done)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, __to): connected components of checkpointed pairs (a, b), named by their smallest node.
 
@@ -270,7 +349,10 @@ def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams()) -> Data
 
 
 def drop_near(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
-    """``docs`` with one row of each group of :func:`near_duplicates`; rows in no group stay."""
+    """``docs`` with one row of each group of :func:`near_duplicates`; rows in no group stay, as do null, empty and wordless texts.
+
+    Of repeated rows in a group one stays. A null doc_id counts as the largest; columns of any name are kept as they are.
+    """
     got = groups(docs, p)
     away = got.where("not __first").select("__id", "__h")
     again = cut(got.where("__first and __n > 1").select("__id", "__h"))
