@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -55,14 +56,15 @@ def with_titles(documents: DataFrame) -> DataFrame:
     )
 
 
-def chunk_documents(documents: DataFrame, size: int = 600, overlap: int = 150, keep: Column | None = None) -> DataFrame:
-    """chunk_id, doc_id, chunk_index, text, text_len, chunk_hash; ``keep`` filters chunks, whose indexes stay as they were."""
-    rows = documents.select("doc_id", F.posexplode(chunk_udf(size, overlap)("text")).alias("chunk_index", "text"))
+def chunk_documents(documents: DataFrame, size: int = 600, overlap: int = 150, keep: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """chunk_id, doc_id, chunk_index, text, text_len, chunk_hash; ``keep`` filters chunks, whose indexes stay as they were.
+    ``carry`` names columns of the document that its chunks take along, which spares a join."""
+    rows = documents.select("doc_id", *carry, F.posexplode(chunk_udf(size, overlap)("text")).alias("chunk_index", "text"))
     if keep is not None:
         rows = rows.where(keep)
     return rows.select(
         (F.col("doc_id") * ID_STEP + F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "text",
-        F.length("text").alias("text_len"), F.sha2("text", 256).alias("chunk_hash"),
+        F.length("text").alias("text_len"), F.sha2("text", 256).alias("chunk_hash"), *carry,
     )
 
 

@@ -31,11 +31,14 @@ def hard_negatives(hits: DataFrame, positives: DataFrame, good: Column, most: in
     return first.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("int")).where(F.col("k") <= most).select("query_id", "chunk_id", "doc_id", "k")
 
 
-def easy_negatives(chunks: DataFrame, positives: DataFrame, good: Column, most: int = 5, seed: int = 7, probes: int = 64) -> DataFrame:
+def easy_negatives(chunks: DataFrame, positives: DataFrame, good: Column, most: int = 5, seed: int = 7, probes: int | None = None) -> DataFrame:
     """For each query good chunks, one a document, from a place in a random-looking order of all chunks that depends on the query.
 
     Chunks have a place in one of ``probes`` slots by hash; a query takes the first of its slot, so no query meets all chunks.
+    Without a number there are as many slots as give each 64 chunks, 64 at least, so what serves as a negative grows with the chunks.
     """
+    if probes is None:
+        probes = max(64, chunks.where(good).count() // 64)
     h = lambda c: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), c.cast("string"))), 1, 8), 16, 10).cast("long")
     rows = chunks.where(good).select("chunk_id", "doc_id", (h(F.col("chunk_id")) % probes).alias("slot"), h(F.col("chunk_id")).alias("h"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("slot", "doc_id").orderBy("h", "chunk_id"))).where("n = 1")
@@ -53,8 +56,8 @@ def leaks(text: Column, reference: Column, least: int = 8) -> Column:
 
 def dedupe_records(records: DataFrame) -> DataFrame:
     """The first record (seq) of each id and of each normalised question."""
-    by_id = records.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("seq"))).where("n = 1").drop("n")
-    return by_id.withColumn("n", F.row_number().over(Window.partitionBy(X.match_key(F.col("question"))).orderBy("seq"))).where("n = 1").drop("n")
+    first = lambda rows, *by: rows.groupBy(*by).agg(F.min_by(F.struct(*records.columns), F.struct("seq", "id", "question")).alias("r")).select("r.*")
+    return first(first(records, "id"), X.match_key(F.col("question")))
 
 
 def grouped_split(records: DataFrame, group: str, ratio: float = 0.05, seed: int = 1337) -> DataFrame:

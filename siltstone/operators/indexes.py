@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from hashlib import md5
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .terms import Terms, slices
+
 
 def index_terms(c: Column) -> Column:
     """Lower-cased runs of letters and digits without Latin accents, in order."""
@@ -18,38 +19,34 @@ def index_terms(c: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-_PLAIN = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-_TERM = re.compile(r"[^\W_]+")
-
-
-def terms(text: str | None) -> list[str]:
-    """What :func:`index_terms` gives, in Python, for operators that keep a chunk's terms in its task."""
-    return _TERM.findall(text.lower().translate(_PLAIN)) if text else []
-
-
 def postings(chunks: DataFrame) -> DataFrame:
     """term, chunk_id, field, tf, positions from chunk_id, title, text.
 
-    A posting only depends on its chunk, so postings are made where the chunk is, without a shuffle.
+    A posting only depends on its chunk, so postings are made where the chunk is, without a shuffle, for many chunks at once.
     """
+    schema = pa.schema([("term", pa.string()), ("chunk_id", pa.int64()), ("field", pa.string()), ("tf", pa.int32()), ("positions", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            term, chunk, field, tf, positions = [], [], [], [], []
-            for cid, title, text in zip(*(c.to_pylist() for c in b.columns)):
-                for name, value in (("title", title), ("text", text)):
-                    at: dict[str, list[int]] = {}
-                    for k, t in enumerate(terms(value)):
-                        at.setdefault(t, []).append(k)
-                    term.extend(at)
-                    positions.extend(at.values())
-                    tf.extend(map(len, at.values()))
-                    chunk.extend([cid] * len(at))
-                    field.extend([name] * len(at))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(term, pa.string()), pa.array(chunk, pa.int64()), pa.array(field, pa.string()), pa.array(tf, pa.int32()), pa.array(positions, pa.list_(pa.int32()))],
-                names=["term", "chunk_id", "field", "tf", "positions"],
-            )
+            ids, fields = b.column(0).to_numpy(), {"title": b.column(1).to_pylist(), "text": b.column(2).to_pylist()}
+            for name, texts in fields.items():
+                for lo, hi in slices([texts]):
+                    t = Terms(texts[lo:hi])
+                    if not len(t.rows):
+                        continue
+                    before = np.cumsum(t.lengths()) - t.lengths()
+                    place = (np.arange(len(t.rows)) - before[t.rows]).astype(np.int32)
+                    order = np.lexsort((place, t.hashes, t.rows))
+                    rows, h = t.rows[order], t.hashes[order]
+                    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])]))
+                    _, one, back = np.unique(h[first], return_index=True, return_inverse=True)
+                    words = pa.array([t.text(k) for k in order[first[one]]], pa.string())
+                    offsets = np.append(first, len(rows)).astype(np.int32)
+                    columns = [
+                        words.take(pa.array(back)), pa.array(ids[lo:hi][rows[first]]), pa.repeat(pa.scalar(name), len(first)), pa.array(np.diff(offsets)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order])),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return chunks.select("chunk_id", "title", "text").mapInArrow(run, "term string, chunk_id long, field string, tf int, positions array<int>")
 
@@ -99,23 +96,26 @@ def sparse_index(chunks: DataFrame, buckets: int = 4096, most: int = 256) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[int, int] = {}
         for b in batches:
-            ids, chunk, weight = [], [], []
-            for cid, title, text in zip(*(c.to_pylist() for c in b.columns)):
-                counts: dict[int, int] = {}
-                for t in (*terms(title), *terms(text)):
-                    h = known.get(t)
-                    if h is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        h = known[t] = int(md5(t.encode()).hexdigest()[:8], 16) % buckets
-                    counts[h] = counts.get(h, 0) + 1
-                top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
-                ids.extend(h for h, _ in top)
-                weight.extend(n for _, n in top)
-                chunk.extend([cid] * len(top))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(chunk, pa.int64()), pa.array(np.log1p(np.array(weight, np.float64)))], names=["term_id", "chunk_id", "weight"])
+            ids, both = b.column(0).to_numpy(), [f"{a or ''} {c or ''}" for a, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            for lo, hi in slices([both]):
+                t = Terms(both[lo:hi])
+                h, one, back = np.unique(t.hashes, return_index=True, return_inverse=True)
+                if len(known) > 500_000:
+                    known.clear()
+                for name, at in zip(h.tolist(), one.tolist()):
+                    if name not in known:
+                        known[name] = int(md5(t.text(at).encode()).hexdigest()[:8], 16) % buckets
+                own = np.fromiter((known[name] for name in h.tolist()), np.int64, len(h))
+                key, n = np.unique(t.rows * buckets + own[back], return_counts=True)
+                rows, term = key // buckets, key % buckets
+                order = np.lexsort((term, -n, rows))
+                rows, term, n = rows[order], term[order], n[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                keep = place < most
+                columns = [pa.array(term[keep].astype(np.int32)), pa.array(ids[lo:hi][rows[keep]]), pa.array(np.log1p(n[keep].astype(np.float64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["term_id", "chunk_id", "weight"])
 
     return chunks.select("chunk_id", "title", "text").mapInArrow(run, "term_id int, chunk_id long, weight double")
 

@@ -43,7 +43,9 @@ def reject_exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def upsert_docs(docs: DataFrame, incoming: DataFrame) -> DataFrame:
-    """docs with incoming rows merged by url: an existing row keeps its doc_id and source and takes the rest, status becomes 1."""
+    """docs with incoming rows merged by url: an existing row keeps its doc_id and source and takes the rest, status becomes 1.
+    Of incoming rows with one url that with the largest doc_id counts."""
+    incoming = latest(incoming, ["url"], [F.desc("doc_id")])
     a, b = docs.alias("a"), incoming.alias("b")
     pick = lambda c: F.when(F.col("b.url").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
     return a.join(b, F.col("a.url") == F.col("b.url"), "full_outer").select(

@@ -33,8 +33,7 @@ _WORDS = "select conv_id * 1000 + turn as chunk_id, regexp_replace(split_part(te
 
 
 def answers(spark, d):
-    table(spark, d, "conversations").createOrReplaceTempView("conversations")
-    rows = spark.sql(_WORDS.replace("{g}", ""))
+    rows = spark.sql(_WORDS.replace("{g}", "").replace("from conversations", "from {conversations}"), conversations=table(spark, d, "conversations"))
     return rows.select("chunk_id", F.concat(F.lit("<think>hm</think>```json "), F.expr(_JSON), F.lit("```")).alias("answer"))
 
 
@@ -81,11 +80,15 @@ def l7(spark, d):
     return spark.range(1).select(X.stable_json_hash(F.lit(",".join(G.ENTITY_TYPES)).alias("entity_types"), F.lit(",".join(G.RELATION_TYPES)).alias("relation_types")).alias("signature"))
 
 
-@query("l8_graph_neighbours")
+@query("l8_graph_neighbours", _ENT + """, e as (select ka as a, kb as b from p where ka <> kb and ka <> '' and kb <> '' union select kb, ka from p where ka <> kb and ka <> '' and kb <> ''),
+s0 as (select distinct ka as key from p where ka <> ''), s1 as (select distinct b as key from e where a in (select key from s0) and b not in (select key from s0)),
+s2 as (select distinct b as key from e where a in (select key from s1) and b not in (select key from s0 union all select key from s1))
+select key, 0 as hops from s0 union all select key, 1 from s1 union all select key, 2 from s2""")
 def l8(spark, d):
+    """From all entities that are a person somewhere."""
     parsed = G.parse_extraction(answers(spark, d))
     named = G.entities(parsed)
-    return G.neighbours(G.relations(parsed, named), named.where("chunk_id % 50 = 0"), 2)
+    return G.neighbours(G.relations(parsed, named), named.where("type = 'person'"), 2)
 
 
 @query("m3_pair_gate", f"""
@@ -112,28 +115,32 @@ def m5(spark, d):
 
 @query("m6_easy_negatives", CHUNKS.replace("with recursive", "with recursive pos as (select item_id as query_id, min(doc_id) as doc_id from benchmark b join documents d on contains(d.text, b.text) group by 1),", 1) + """
 , g as (select chunk_id, doc_id, ('0x' || substr(md5('7|' || chunk_id), 1, 8))::bigint as h from chunks where text_len >= 350),
-o as (select *, h % 64 as slot from g qualify row_number() over (partition by h % 64, doc_id order by h, chunk_id) = 1),
+n as (select greatest(64, count(*) // 64) as n from g),
+o as (select g.*, h % n as slot from g, n qualify row_number() over (partition by h % n, doc_id order by h, chunk_id) = 1),
 pl as (select *, row_number() over (partition by slot order by h, chunk_id) as place from o),
-m as (select query_id, chunk_id, pl.doc_id, row_number() over (partition by query_id order by place) as k from pos join pl on ('0x' || substr(md5('7|' || query_id), 1, 8))::bigint % 64 = slot where place <= 6 and pl.doc_id <> pos.doc_id)
+m as (select query_id, chunk_id, pl.doc_id, row_number() over (partition by query_id order by place) as k from pos join pl on ('0x' || substr(md5('7|' || query_id), 1, 8))::bigint % (select n from n) = slot where place <= 6 and pl.doc_id <> pos.doc_id)
 select query_id, chunk_id, doc_id, k::int as k from m where k <= 5""")
 def m6(spark, d):
     return D.easy_negatives(chunk_documents(table(spark, d, "documents")), positives(spark, d), F.col("text_len") >= 350)
 
 
-@query("m7_negative_leaks", HYDRATED + f"select query_id, chunk_id, length({squeeze_sql('lower(substr(question, 1, 30))')}) >= 8 and contains({squeeze_sql('lower(text)')}, {squeeze_sql('lower(substr(question, 1, 30))')}) as leaks from h")
+@query("m7_negative_leaks", HYDRATED + f"select query_id, chunk_id, length({squeeze_sql('lower(question)')}) >= 8 and contains({squeeze_sql('lower(text)')}, {squeeze_sql('lower(question)')}) as leaks from h")
 def m7(spark, d):
-    return hydrated(spark, d).select("query_id", "chunk_id", D.leaks(F.col("text"), F.substring("question", 1, 30)).alias("leaks"))
+    return hydrated(spark, d).select("query_id", "chunk_id", D.leaks(F.col("text"), F.col("question")).alias("leaks"))
 
 
 @query("m8_output_dedupe", f"""
-with r as (select conv_id * 100 + turn as seq, 'qa_' || (conv_id * 7 + turn) % 300 as id, substr(text, 1, 6) as question from conversations),
-a as (select * from r qualify row_number() over (partition by id order by seq) = 1)
-select id, seq, question from a qualify row_number() over (partition by {squeeze_sql('lower(question)')} order by seq) = 1""")
+with c as (select conv_id * 1000 + turn as seq, 'qa_' || conv_id || '_' || turn as id, text as question from conversations),
+r as (select * from c union all select seq + 1000000000000, id, question || ' again' from c where length(question) % 3 = 0),
+a as (select * from r qualify row_number() over (partition by id order by seq, question) = 1)
+select id, seq, question from a qualify row_number() over (partition by {squeeze_sql('lower(question)')} order by seq, id) = 1""")
 def m8(spark, d):
+    """Every turn as a question; some are asked once more, later, under the same id."""
     rows = table(spark, d, "conversations").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.concat(F.lit("qa_"), ((F.col("conv_id") * 7 + F.col("turn")) % 300).cast("string")).alias("id"), F.substring("text", 1, 6).alias("question")
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat(F.lit("qa_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("question")
     )
-    return D.dedupe_records(rows).select("id", "seq", "question")
+    again = rows.where(F.length("question") % 3 == 0).select(F.col("seq") + 1000000000000, "id", F.concat("question", F.lit(" again")))
+    return D.dedupe_records(rows.unionAll(again)).select("id", "seq", "question")
 
 
 @query("m9_grouped_split", """
@@ -156,11 +163,12 @@ def m10(spark, d):
 
 
 @query("m11_evidence_merge", """
-with e as (select page_id % 25 as record_id, regexp_replace(url, '[0-9]+.*$', '') as url, page_id as search_rank, html as text from pages),
-o as (select *, coalesce(sum(length(text)) over (partition by record_id order by search_rank, url rows between unbounded preceding and 1 preceding), 0) as before from e qualify row_number() over (partition by record_id, url order by search_rank) = 1)
-select record_id, url, (row_number() over (partition by record_id order by search_rank, url))::int as rank, substr(text, 1, (20000 - before)::int) as text from o where before < 20000""".replace("from e qualify", "from (select * from e qualify").replace("order by search_rank) = 1)\n", "order by search_rank) = 1))\n"))
+with e as (select page_id // 10 as record_id, regexp_replace(url, '#.*$', '') as url, page_id as search_rank, html as text from pages),
+f as (select * from e qualify row_number() over (partition by record_id, url order by search_rank) = 1),
+o as (select *, coalesce(sum(length(text)) over (partition by record_id order by search_rank, url rows between unbounded preceding and 1 preceding), 0) as before from f)
+select record_id, url, (row_number() over (partition by record_id order by search_rank, url))::int as rank, substr(text, 1, (20000 - before)::int) as text from o where before < 20000""")
 def m11(spark, d):
-    rows = table(spark, d, "pages").select((F.col("page_id") % 25).alias("record_id"), F.regexp_replace("url", "[0-9]+.*$", "").alias("url"), F.col("page_id").alias("search_rank"), F.lit("s").alias("source"), F.col("html").alias("text"))
+    rows = table(spark, d, "pages").select(F.floor(F.col("page_id") / 10).alias("record_id"), F.regexp_replace("url", "#.*$", "").alias("url"), F.col("page_id").alias("search_rank"), F.lit("s").alias("source"), F.col("html").alias("text"))
     return D.merge_evidence(rows, 20000)
 
 
@@ -171,8 +179,7 @@ _JUDGED = """select doc_id % 50 as record_id, source, case when doc_id % 3 = 0 t
 p as (select record_id, round(coalesce(max(score) filter (supports and tier = 'primary'), 0), 6) as primary_support, count(distinct source) filter (supports and score >= 0.72) as supporting_sources, round(coalesce(max(score) filter (contradicts), 0), 6) as contradiction from s group by 1)
 select *, (primary_support >= 0.82 or supporting_sources >= 2) and contradiction < 0.7 as verified from p""")
 def m12(spark, d):
-    table(spark, d, "documents").createOrReplaceTempView("documents")
-    return D.evidence_gates(spark.sql(_JUDGED.replace("{D}", "D")))
+    return D.evidence_gates(spark.sql(_JUDGED.replace("{D}", "D").replace("from documents", "from {documents}"), documents=table(spark, d, "documents")))
 
 
 @query("m14_apply_verdicts", "select 'doc_' || doc_id as id, source as meta_source, coalesce(quality = 1, false) as validated from documents left join labels using (doc_id)")
@@ -232,7 +239,7 @@ def k1(spark, d):
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
 
     def process(rows, batch):
-        chunk_documents(rows).write.mode("append").parquet(f"{folder}/chunks")
+        chunk_documents(rows).write.mode("overwrite").parquet(f"{folder}/chunks/batch={batch}")  # a batch that is tried again replaces its rows
 
     S.ingest(S.landed(spark, f"{d}/*documents.parquet", table(spark, d, "documents").schema), process, f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/chunks").groupBy("doc_id").agg(F.count("*").alias("n"))

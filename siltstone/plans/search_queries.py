@@ -11,6 +11,7 @@ from ..operators import context as C
 from ..operators import indexes as I
 from ..operators import metrics as E
 from ..operators import retrieval as R
+from ..operators.passages import containing
 from .registry import query, table
 from .sql import squeeze_sql, trim_sql
 from .table_queries import POSTINGS, QUANT, SPARSE, VEC, docs, titled, vecs
@@ -164,6 +165,11 @@ def fused(spark, d):
     return R.fuse(_channels(spark, d), {"bm25": 1.0, "sparse": 0.75})
 
 
+def fused_hits(spark, d):
+    """The fused list of every question, ranked and checkpointed: what follows reads identifiers and scores, not texts, again."""
+    return ordered(fused(spark, d)).checkpoint()
+
+
 @query("g1_rrf_fuse", BOTH + "select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as rrf_score from (select query_id, chunk_id, rank from bm union all select query_id, chunk_id, rank from sp) group by 1, 2")
 def g1(spark, d):
     return R.fuse(_channels(spark, d), {}, scale=1.0)
@@ -268,8 +274,8 @@ n as (select *, count(*) filter (kind = 1) over (partition by query_id) as n1, c
 m as (select *, case when n1 < 5 then n2 else 0 end as m2 from n)
 select query_id, chunk_id, source, (row_number() over (partition by query_id order by kind, rank))::int as rank from m where kind <= 1 or kind = 2 and n1 < 5 or kind = 3 and n1 + m2 < 5 and w <= 12 - n1 - m2""")
 def g10(spark, d):
-    chunks = titled(spark, d).select("chunk_id", "source")
-    hits = with_intent(ordered(fused(spark, d)).where("rank <= 30").join(chunks, "chunk_id"))
+    hits = fused_hits(spark, d).where("rank <= 30")
+    hits = with_intent(hits.join(titled(spark, d, hits).select("chunk_id", "source"), "chunk_id"))
     return R.filter_sources(hits, _profiles(spark), 5, 12)
 
 
@@ -277,7 +283,7 @@ def g10(spark, d):
 fl as (select item_id as query_id, item_id % 3 <> 2 and (select count(*) from sh where sh.query_id = item_id) < 3 as deep from benchmark)
 select sh.* from sh join fl using (query_id) where not deep union all select dp.* from dp join fl using (query_id) where deep""")
 def g11(spark, d):
-    hits = ordered(fused(spark, d)).select("query_id", "chunk_id", "rank").where("chunk_id % 4 = 0")
+    hits = fused_hits(spark, d).select("query_id", "chunk_id", "rank").where("chunk_id % 4 = 0")
     intents = with_intent(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")))
     return R.deep_retry(hits.where("rank <= 10"), hits.where("rank <= 50"), intents, ("build", "lore"))
 
@@ -288,20 +294,18 @@ HYDRATED = FUSED + """, h as (select o.query_id, o.chunk_id, o.rank, o.rrf_score
 """
 
 
-def hydrated(spark, d):
-    """The first hits of the fused list, with texts joined only now."""
-    chunks = titled(spark, d)
-    a, b = bm25_hits(spark, d, chunks), sparse_hits(spark, d, chunks)
-    both = a.withColumn("channel", F.lit("bm25")).unionByName(b.withColumn("channel", F.lit("sparse")))
-    hits = ordered(R.fuse(both, {"bm25": 1.0, "sparse": 0.75})).where("rank <= 40")
+def hydrated(spark, d, hits=None):
+    """The first hits of the fused list, with texts joined only now, from the documents that are among them."""
+    hits = (fused_hits(spark, d) if hits is None else hits).where("rank <= 40")
+    chunks = titled(spark, d, hits)
     hits = hits.withColumnsRenamed({"sparse_rank": "dense_rank", "in_sparse": "in_dense", "sparse_score": "dense_score"})
     return hits.join(chunks, "chunk_id").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
 
 
 @query("d14_fetch_chunks", FUSED + "select query_id, chunk_id, doc_id, title, text, rank from ordered join titled using (chunk_id) where rank <= 20")
 def d14(spark, d):
-    hits = ordered(fused(spark, d)).where("rank <= 20").select("query_id", "chunk_id", "rank")
-    return C.hydrate(hits, titled(spark, d).drop("title", "source"), docs(spark, d)).select("query_id", "chunk_id", "doc_id", "title", "text", "rank")
+    hits = fused_hits(spark, d).where("rank <= 20").select("query_id", "chunk_id", "rank")
+    return hits.join(titled(spark, d, hits), "chunk_id").select("query_id", "chunk_id", "doc_id", "title", "text", "rank")
 
 
 _T = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9_'']+'))"
@@ -361,7 +365,7 @@ def i3(spark, d):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = hydrated(spark, d)
+    rows = hydrated(spark, d).checkpoint()
     features = C.ltr_features(rows.withColumn("weight", F.lit(1.0))).join(rows.select("query_id", "chunk_id", "doc_id", "question"), ["query_id", "chunk_id"])
     labelled = features.join(positives(spark, d, every=True).withColumn("label", F.lit(2.0)), ["query_id", "doc_id"], "left").fillna(0.0, ["label"])
     names = [c for c in features.columns if c.startswith("f_")]
@@ -409,17 +413,22 @@ WINDOWS = """, we as (select query_id, chunk_id, rank::int as rank from (select
 
 
 def _seeds(spark, d):
-    return C.most_per_doc(hydrated(spark, d), 2).where("rank <= 8")
+    """The first chunks, two a document at most, of the fused list; checkpointed, so that only their documents are chunked again."""
+    hits = fused_hits(spark, d).where("rank <= 40").select("query_id", "chunk_id", "rank")
+    found = titled(spark, d, hits).select("chunk_id", "doc_id", "title", "source")
+    return C.most_per_doc(hits.join(found, "chunk_id"), 2).where("rank <= 8").checkpoint()
 
 
 @query("i7_parent_expand", PARENTS + "select * from pe")
 def i7(spark, d):
-    return C.parent_expand(_seeds(spark, d), titled(spark, d), 12, 4, 60)
+    seeds = _seeds(spark, d)
+    return C.parent_expand(seeds, titled(spark, d, seeds), 12, 4, 60)
 
 
 @query("i8_window_expand", SEEDS + WINDOWS + "select * from we")
 def i8(spark, d):
-    return C.window_expand(_seeds(spark, d), titled(spark, d), 2, 2, 30)
+    seeds = _seeds(spark, d)
+    return C.window_expand(seeds, titled(spark, d, seeds), 2, 2, 30)
 
 
 MERGED = SEEDS + WINDOWS + """, sn as (select query_id, chunk_id // 1000000 as doc, count(*) as n from seeds group by 1, 2), st as (select query_id, count(*) as seeds from seeds group by 1),
@@ -431,8 +440,8 @@ mk as (select query_id, chunk_id, (row_number() over (partition by query_id orde
 
 
 def merged(spark, d):
-    seeds = _seeds(spark, d).select("query_id", "chunk_id", "rank").checkpoint()
-    return C.merge_keeping_seeds(seeds, C.window_expand(seeds, titled(spark, d), 2, 2, 30), 16, 4)
+    seeds = _seeds(spark, d).select("query_id", "chunk_id", "rank")
+    return C.merge_keeping_seeds(seeds, C.window_expand(seeds, titled(spark, d, seeds), 2, 2, 30), 16, 4)
 
 
 @query("i9_merge_preserving_seeds", MERGED + "select * from mk")
@@ -448,7 +457,8 @@ BUDGET = BUDGET.replace("title, source, " + trim_sql("t.text"), "t.title, source
 
 
 def budgeted(spark, d):
-    rows = merged(spark, d).join(titled(spark, d).select("chunk_id", "doc_id", "title", "text", "source"), "chunk_id")
+    hits = merged(spark, d).checkpoint()
+    rows = hits.join(titled(spark, d, hits).select("chunk_id", "doc_id", "title", "text", "source"), "chunk_id")
     return C.trim_to_budget(rows, 8, 4000, 500)
 
 
@@ -508,10 +518,10 @@ POS = ", pos as (select item_id as query_id, min(doc_id) as doc_id from benchmar
 
 
 def positives(spark, d, every: bool = False):
-    """The documents that contain each passage (the first one). Passages are few and shared with all tasks."""
+    """The documents that contain each passage (the first one)."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    hits = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(items), F.contains("text", F.col("passage"))).select("query_id", "doc_id")
-    return hits.distinct() if every else hits.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    hits = containing(table(spark, d, "documents"), items)
+    return hits if every else hits.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 RECORDS = PERDOC + POS + """, cand as (select query_id, doc_id, min(rank) as r from (select query_id, chunk_id // 1000000 as doc_id, rank from ordered) group by 1, 2),
@@ -521,11 +531,12 @@ rec as (select p.query_id, c.r as candidate_rank, s.r as reranked_rank, case whe
 
 
 def records(spark, d):
-    pos = positives(spark, d).checkpoint()
-    top = hydrated(spark, d)
-    cand = ordered(fused(spark, d)).select("query_id", F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id"), "rank")
+    pos, hits = positives(spark, d).checkpoint(), fused_hits(spark, d)
+    cand = hits.select("query_id", F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id"), "rank")
     a = E.rank_of(cand, pos).withColumnRenamed("rank", "candidate_rank")
-    b = E.rank_of(C.most_per_doc(top, 2).where("rank <= 16"), pos).withColumnRenamed("rank", "reranked_rank")
+    first = hits.where("rank <= 40").select("query_id", "chunk_id", "rank")
+    first = first.join(titled(spark, d, first).select("chunk_id", "doc_id", "title", "source"), "chunk_id")
+    b = E.rank_of(C.most_per_doc(first, 2).where("rank <= 16"), pos).withColumnRenamed("rank", "reranked_rank")
     return a.join(b, "query_id").withColumn("context_rank", F.when(F.col("reranked_rank") <= 8, F.col("reranked_rank"))).withColumn("latency_ms", (F.col("query_id") * 37 % 101).cast("double"))
 
 
@@ -581,13 +592,13 @@ def j6(spark, d):
 
 @query("p1_find_document_rank", RECORDS + "select query_id, min(r) as rank from pos left join cand using (query_id, doc_id) group by 1")
 def p1(spark, d):
-    cand = ordered(fused(spark, d)).select("query_id", F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id"), "rank")
+    cand = fused_hits(spark, d).select("query_id", F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id"), "rank")
     return E.rank_of(cand, positives(spark, d))
 
 
-@query("p2_has_lookup_phrase", HYDRATED + f"select query_id, bool_or(contains({_K('title')}, k) or contains({_K('substr(text, 1, 2500)')}, k)) as found from (select *, {_K(squeeze_sql('substr(question, 1, 12)'))} as k from h) group by 1")
+@query("p2_has_lookup_phrase", HYDRATED + f"select query_id, bool_or(contains({_K('title')}, k) or contains({_K('substr(text, 1, 2500)')}, k)) as found from (select *, {_K(squeeze_sql('question'))} as k from h) group by 1")
 def p2(spark, d):
-    k = X.title_key(X.squeeze(F.substring("question", 1, 12)))
+    k = X.title_key(X.squeeze(F.col("question")))
     found = F.contains(X.title_key(F.col("title")), k) | F.contains(X.title_key(F.substring("text", 1, 2500)), k)
     return hydrated(spark, d).groupBy("query_id").agg(F.bool_or(found).alias("found"))
 
@@ -597,12 +608,13 @@ def p4(spark, d):
     return sparse_queries(spark, d).groupBy("query_id", "term_id").agg(F.sum("weight").alias("weight"))
 
 
-@query("d15_exact_title_seeds", POSTINGS + """, ent as (select distinct title as entity from docs where doc_id % 10 = 0), m as (select entity, doc_id, row_number() over (partition by entity order by case source when 'src3' then 0 when 'src1' then 1 else 2 end, doc_id) as n from ent join docs on title = entity or starts_with(title, entity || ' |') where coalesce(status, 1) = 1)
+@query("d15_exact_title_seeds", POSTINGS + """, ent as (select distinct title as entity from docs), m as (select entity, doc_id, row_number() over (partition by entity order by case source when 'src3' then 0 when 'src1' then 1 else 2 end, doc_id) as n from ent join docs on title = entity or starts_with(title, entity || ' |') where coalesce(status, 1) = 1)
 select entity, t.chunk_id from m join (select *, row_number() over (partition by doc_id order by chunk_id) as c from titled) t using (doc_id) where n <= 2 and c <= 4""")
 def d15(spark, d):
     rows = docs(spark, d)
-    entities = rows.where("doc_id % 10 = 0").select(F.col("title").alias("entity")).distinct()
-    live = rows.where("coalesce(status, 1) = 1").select("doc_id", "source", F.explode(F.array_distinct(F.array("title", F.substring_index("title", " |", 1)))).alias("entity"))
+    entities = rows.select(F.col("title").alias("entity")).distinct()
+    heads = F.transform(F.sequence(F.lit(1), F.size(F.split("title", r" \|"))), lambda n: F.call_function("substring_index", F.col("title"), F.lit(" |"), n))
+    live = rows.where("coalesce(status, 1) = 1").select("doc_id", "source", F.explode(F.array_distinct(heads)).alias("entity"))
     order = F.when(F.col("source") == "src3", 0).when(F.col("source") == "src1", 1).otherwise(2)
     first = entities.join(live, "entity").withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy(order, "doc_id"))).where("n <= 2")
     chunks = titled(spark, d).select("doc_id", "chunk_id").withColumn("c", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id"))).where("c <= 4")
@@ -611,8 +623,8 @@ def d15(spark, d):
 
 def flagship(spark, d):
     """Hybrid retrieval for every question, one list fused from three channels, duplicates cut, texts joined late and trimmed to a budget."""
-    hits = ordered(hybrid(spark, d, "hybrid_three")).where("rank <= 40").select("query_id", "chunk_id", "rank")
-    rows = C.most_per_doc(hits.join(titled(spark, d), "chunk_id"), 2)
+    hits = ordered(hybrid(spark, d, "hybrid_three")).where("rank <= 40").select("query_id", "chunk_id", "rank").checkpoint()
+    rows = C.most_per_doc(hits.join(titled(spark, d, hits), "chunk_id"), 2)
     return C.trim_to_budget(rows, 8, 4000, 600).select("query_id", "chunk_id", "doc_id", "source", "title", "text", "rank")
 
 

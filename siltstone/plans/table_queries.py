@@ -9,6 +9,7 @@ from ..operators import audit as A
 from ..operators import indexes as I
 from ..operators import ingest as N
 from ..operators.chunking import chunk_documents, parent_map, parents, sync, with_titles
+from ..operators.retrieval import few
 from .registry import query, table
 from .sql import CHUNKS, trim_sql
 
@@ -30,9 +31,9 @@ def docs(spark, d):
     )
 
 
-def stored(spark, d):
+def stored(spark, d, documents=None, carry=()):
     on = (F.col("doc_id") % 40 != 3) & ~((F.col("chunk_index") == 1) & (F.col("doc_id") % 10 == 4))
-    return chunk_documents(table(spark, d, "documents")).withColumn("is_active", on)
+    return chunk_documents(table(spark, d, "documents") if documents is None else documents, carry=carry).withColumn("is_active", on)
 
 
 def vectors(chunks):
@@ -54,7 +55,7 @@ def a8(spark, d):
 
 @query("a9_export_active_chunks", STORE + "select s.chunk_id, s.doc_id, s.chunk_index, s.text, d.source, d.url, d.title, 1.0::double as weight from stored s join docs d using (doc_id) where is_active")
 def a9(spark, d):
-    rows = stored(spark, d).where("is_active").join(docs(spark, d).drop("text"), "doc_id")
+    rows = stored(spark, d, docs(spark, d), ("source", "url", "title")).where("is_active")
     return rows.select("chunk_id", "doc_id", "chunk_index", "text", "source", "url", "title", F.lit(1.0).alias("weight"))
 
 
@@ -265,9 +266,13 @@ words as (select chunk_id, doc_id, 'title' as field, unnest({_TERMS.format(c='ti
 """
 
 
-def titled(spark, d):
-    rows = docs(spark, d).where(A.active()).select("doc_id", "title", "source")
-    return stored(spark, d).where("is_active").join(rows, "doc_id").select("chunk_id", "doc_id", "chunk_index", "title", "text", "source")
+def titled(spark, d, hits=None):
+    """Active chunks of active documents, with title and source taken along; with hits (chunk_id, checkpointed) only documents that have some are chunked."""
+    rows = docs(spark, d).where(A.active())
+    if hits is not None:
+        ids = hits.select(F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id")).distinct()
+        rows = rows.join(few(ids, ids.count()), "doc_id", "left_semi")
+    return stored(spark, d, rows, ("title", "source")).where("is_active").select("chunk_id", "doc_id", "chunk_index", "title", "text", "source")
 
 
 @query("e1_fts_rebuild", POSTINGS + "select term, chunk_id, field, count(*)::int as tf from words group by 1, 2, 3")
@@ -348,4 +353,4 @@ def b12(spark, d):
 
 @query("p3_graph_source_scan", STORE + "select chunk_id, doc_id, chunk_index from stored join docs using (doc_id) where source = 'src0' and is_active")
 def p3(spark, d):
-    return stored(spark, d).where("is_active").join(docs(spark, d).where("source = 'src0'").select("doc_id"), "doc_id", "left_semi").select("chunk_id", "doc_id", "chunk_index")
+    return stored(spark, d, table(spark, d, "documents").where("source = 'src0'")).where("is_active").select("chunk_id", "doc_id", "chunk_index")

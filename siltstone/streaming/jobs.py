@@ -60,10 +60,10 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
 
 
 def run_updates(stream: DataFrame, folder: str) -> DataFrame:
-    """Runs a stream in update mode; every batch's changes are appended, with the batch's number."""
+    """Runs a stream in update mode; every batch's changes lie under its number, so that a batch that is tried again replaces them."""
 
     def keep(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/out")
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
     stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.parquet(f"{folder}/out")
@@ -106,16 +106,39 @@ class _Pages(DataSourceReader):
 
 
 class _Changes(SimpleDataSourceStreamReader):
+    """The offset is the time of the last page that was read and the titles read of that time, since many pages may have one time."""
+
+    PAGE = 500
+
     def __init__(self, fetch: Fetch):
         self.fetch = fetch
 
     def initialOffset(self) -> dict:
-        return {"since": ""}
+        return {"since": "", "seen": []}
+
+    def _after(self, start: dict, most: int) -> list[tuple[str, str, str]]:
+        """What changed after an offset, in the order of time and title. Pages of the offset's own time are asked for again."""
+        rows, want = [], most
+        while True:
+            got, total = self.fetch(start["since"], want + len(start["seen"]))
+            rows = sorted({r for r in got if (r[2], r[0]) > (start["since"], "") and not (r[2] == start["since"] and r[0] in start["seen"])}, key=lambda r: (r[2], r[0]))
+            # a page that ends among pages of one time is asked for again, larger, so that none of them is lost
+            if len(got) >= total or len({r[2] for r in got}) > 1:
+                break
+            want *= 2
+        if len(got) < total and rows:
+            last = rows[-1][2]
+            rows = [r for r in rows if r[2] < last] or rows
+        return rows
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, _ = self.fetch(start["since"], 500)
-        return iter(rows), {"since": max([start["since"], *(r[2] for r in rows)])}
+        rows = self._after(start, self.PAGE)
+        if not rows:
+            return iter([]), start
+        last = rows[-1][2]
+        seen = sorted({r[0] for r in rows if r[2] == last} | (set(start["seen"]) if last == start["since"] else set()))
+        return iter(rows), {"since": last, "seen": seen}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows, _ = self.fetch(start["since"], 1 << 30)
-        return iter([r for r in rows if r[2] <= end["since"]])
+        rows = self._after(start, 1 << 30)
+        return iter([r for r in rows if r[2] < end["since"] or r[2] == end["since"] and r[0] in end["seen"]])
