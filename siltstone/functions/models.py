@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from zlib import crc32
+from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,11 @@ PairScorer = Callable[[list[tuple[str, str]]], list[float]]
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+@lru_cache(maxsize=500_000)
+def _word_hash(word: str) -> int:
+    return int(md5(word.encode()).hexdigest()[:8], 16)
+
+
 def hash_embedder(dims: int = 64) -> Embedder:
     """Signed feature hashing of distinct words, normalised to length 1; a text without words is all zeros."""
 
@@ -25,7 +31,7 @@ def hash_embedder(dims: int = 64) -> Embedder:
         out = np.zeros((len(texts), dims), np.float64)
         for at, text in enumerate(texts):
             for word in set(_WORD.findall((text or "").lower())):
-                h = crc32(word.encode())
+                h = _word_hash(word)
                 out[at, h % dims] += 1 if h >> 16 & 1 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).astype(np.float32)

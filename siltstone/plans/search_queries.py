@@ -136,7 +136,10 @@ def f9(spark, d):
     return R.hyde_trigger(bm25_hits(spark, d, chunks), sparse_hits(spark, d, chunks), doc)
 
 
-@query("f9_hyde_topk")
+def _hyde_sql():
+    return POSTINGS + DENSE + dense_sql("hy", FIRST, 20, "ce") + "select * from hy"
+
+
 def f9h(spark, d):
     """A generator's hypothetical passage for each question is embedded and searched for."""
     write, embed = M.generate_column(M.first_sentence), M.embed_column(M.hash_embedder())
@@ -144,6 +147,26 @@ def f9h(spark, d):
     return R.dense_top_k(titled(spark, d).select("chunk_id", embed("text").alias("embedding")), q, 20)
 
 
+def embedded_sql(name: str, rows: str) -> str:
+    """Adds a relation (id, dim, v) of the default embedder's vectors of rows (id, text), without their zeros."""
+    return f""", {name}_w as (select id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as w from ({rows})),
+{name}_x as (select id, h % 64 as dim, sum(case when (h >> 16) & 1 = 1 then 1 else -1 end)::double as x from (select id, ('0x' || substr(md5(w), 1, 8))::bigint as h from {name}_w) group by 1, 2),
+{name} as (select id, dim, (x / sqrt(sum(x * x) over (partition by id)))::float::double as v from {name}_x where x <> 0)
+"""
+
+
+FIRST = r"coalesce(nullif(regexp_extract(text, '(?s)^\s*(.*?[.!?])\s', 1), ''), " + trim_sql("text") + ")"
+DENSE = embedded_sql("ce", "select chunk_id as id, text from titled") + ", cf as (select id, dim, v / sqrt(sum(v * v) over (partition by id)) as v from ce)\n"
+
+
+def dense_sql(name: str, text: str, k: int, index: str = "cf") -> str:
+    """Adds a relation of hits of the embedded questions."""
+    q = embedded_sql(f"{name}_q", f"select item_id as id, {text} as text from benchmark")
+    return q + f""", {name} as (select query_id, chunk_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (
+  select q.id as query_id, c.id as chunk_id, round(sum(q.v * c.v), 6) as score from {name}_q q join {index} c using (dim) group by 1, 2)) where rank <= {k})
+"""
+
+
 def _channels(spark, d):
     chunks = titled(spark, d)
     a, b = bm25_hits(spark, d, chunks), sparse_hits(spark, d, chunks)
@@ -196,6 +219,9 @@ def g2(spark, d):
     return R.fuse(a.unionByName(b), {"dense": 1.0, "l2": 0.5}).select("query_id", "chunk_id", "rrf_score", "in_dense", "in_l2")
 
 
+query("f9_hyde_topk", _hyde_sql())(f9h)
+
+
 def hybrid(spark, d, name: str, k: int = 50):
     """A named hybrid over the benchmark's questions, with the default embedder and encoder."""
     chunks = titled(spark, d)
@@ -221,8 +247,20 @@ def hybrid(spark, d, name: str, k: int = 50):
     return R.fuse(hits, weights)
 
 
+def hybrid_sql(name: str) -> str | None:
+    """The rows of a named hybrid; none for those that quantise, whose steps fall on the rounding of either engine."""
+    weights = R.channel_weights(name)
+    if "quant" in weights:
+        return None
+    sql = BOTH + DENSE + (dense_sql("dn", "text", 50) if "dense" in weights else "") + (dense_sql("hy", FIRST, 50) if "hyde" in weights else "")
+    of = {"bm25": "bm", "sparse": "sp", "dense": "dn", "hyde": "hy"}
+    hits = " union all ".join(f"select query_id, chunk_id, score, rank, '{c}' as channel, {w}::double as w from {of[c]}" for c, w in weights.items())
+    each = ", ".join(f"max(score) filter (channel = '{c}') as {c}_score, min(rank) filter (channel = '{c}') as {c}_rank, bool_or(channel = '{c}') as in_{c}" for c in sorted(weights))
+    return sql + f", hits as ({hits}), hybrid as (select query_id, chunk_id, round(sum(10.0::double * w / (60 + rank)), 9) as rrf_score, {each} from hits group by 1, 2) "
+
+
 for _name in R.HYBRIDS:
-    query(f"g5_{_name}")(lambda spark, d, name=_name: hybrid(spark, d, name))
+    query(f"g5_{_name}", (_sql := hybrid_sql(_name)) and _sql + "select * from hybrid")(lambda spark, d, name=_name: hybrid(spark, d, name))
 
 
 @query("g6_merge_query_runs", BOTH + """
@@ -247,7 +285,12 @@ def g7(spark, d):
     return R.merge_hops(base, hops, 60)
 
 
-@query("g9_query_expand")
+@query("g9_query_expand", f"""
+with w as (select item_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as w from benchmark),
+h as (select item_id, text, w, greatest(1, len(w) // 2) as n from w),
+v as (select item_id, unnest([text, array_to_string(w[1:n], ' '), array_to_string(w[n + 1:], ' ')]) as query, unnest([0, 1, 2]) as k from h),
+u as (select * from v where k = 0 or length(query) between 2 and 300 qualify k = 0 or row_number() over (partition by item_id, k > 0, lower(query) order by k) = 1)
+select item_id as query_id, (row_number() over (partition by item_id order by k) - 1)::int as variant, query from u""")
 def g9(spark, d):
     """A generator's rewritings of each question, parsed and joined to it."""
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", M.generate_column(M.echo_queries)("text").alias("answer"))
@@ -479,7 +522,8 @@ def i12(spark, d):
     return g.agg(F.count("*").alias("n"), ids.alias("chunk_ids"))
 
 
-@query("i13_grounded_answer")
+@query("i13_grounded_answer", BUDGET + """, ctx as (select query_id, string_agg('[' || rank || '] ' || title || ' (' || source || ')' || chr(10) || text, chr(10) || '---' || chr(10) order by rank) as text from bc group by 1)
+select query_id, 'Answer from the context only.' || chr(10) || 'Question: ' || b.text || chr(10) || 'Context:' || chr(10) || ctx.text as prompt, """ + FIRST.replace("text", "ctx.text") + """ as answer from ctx join benchmark b on item_id = query_id""")
 def i13(spark, d):
     """A prompt of question and context for each query, and what the injected generator makes of it."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
@@ -628,4 +672,10 @@ def flagship(spark, d):
     return C.trim_to_budget(rows, 8, 4000, 600).select("query_id", "chunk_id", "doc_id", "source", "title", "text", "rank")
 
 
-query("flagship_hybrid_context")(flagship)
+query(
+    "flagship_hybrid_context",
+    hybrid_sql("hybrid_three") + f""", o as (select query_id, chunk_id, row_number() over (partition by query_id order by rrf_score desc, chunk_id) as rank from hybrid qualify row_number() over (partition by query_id order by rrf_score desc, chunk_id) <= 40),
+fl as (select o.query_id, o.chunk_id, t.doc_id, source, t.title, {trim_sql('t.text')} as text, rank from o join titled t using (chunk_id) join docs using (doc_id) qualify row_number() over (partition by query_id, t.doc_id order by rank) <= 2),
+ft as (select *, coalesce(sum(least(length(text), 600)) over (partition by query_id order by rank rows between unbounded preceding and 1 preceding), 0) as b, row_number() over (partition by query_id order by rank) as n from fl where text <> '')
+select query_id, chunk_id, doc_id, source, title, substr(text, 1, least(600, 4000 - b)::int) as text, n::int as rank from ft where 4000 - b >= 200 and n <= 8""",
+)(flagship)

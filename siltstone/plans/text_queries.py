@@ -8,6 +8,7 @@ from ..functions import questions as Q
 from ..functions import text as X
 from ..operators.chunking import chunk_documents, with_titles
 from ..sources.html import extract_links, html_to_text
+from ..operators.retrieval import resolve_titles
 from .registry import query, table
 from .sql import CHUNKS, DOCS, DOCS_CTE, QUESTIONS, marker_sql, squeeze_sql, trim_sql
 
@@ -305,11 +306,9 @@ def h5(spark, d):
 
 @query("h6_resolve_entity")
 def h6(spark, d):
-    """The title closest to each entity, if it is close enough; entities are few, titles are compared in one pass."""
-    entities = questions(spark, d).select("query_id", Q.lookup_entity(F.col("question")).alias("entity")).where("entity is not null")
-    titles = _docs(spark, d).select(X.primary_title(F.substring("title", 1, 80)).alias("title")).distinct()
-    scored = titles.join(F.broadcast(entities)).withColumn("score", Q.entity_title_similarity("entity", "title"))
-    return scored.groupBy("query_id", "entity").agg(F.max_by("title", F.struct("score", "title")).alias("title"), F.round(F.max("score"), 6).alias("score")).withColumn("resolved", F.col("score") >= 0.84)
+    """The title closest to each entity, if it is close enough, over whole titles."""
+    entities = questions(spark, d).select("query_id", Q.lookup_entity(F.col("question")).alias("entity"))
+    return resolve_titles(entities, _docs(spark, d).select(X.primary_title(F.col("title")).alias("title")))
 
 
 @query("g8_gates", f"""
