@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, lean
-from .textbytes import _WORD, slices, tidy
+from .textbytes import _WORD, points, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -40,23 +40,6 @@ class ToxicityParams:
     seed: int = 11
 
 
-def points(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The characters of a slice of UTF-8 as numbers, and the rows' offsets in them."""
-    at = np.flatnonzero((buf & 0xC0) != 0x80)
-    if len(at) == len(buf):
-        return buf.astype(np.uint32), offsets
-    out = buf[at].astype(np.uint32)
-    long = np.flatnonzero(out >= 0xC0)
-    lead = out[long]
-    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
-    value = lead & (np.uint32(0x7F) >> size.astype(np.uint32))
-    for k in range(1, 4):
-        own = size > k
-        value[own] = value[own] << np.uint32(6) | buf[at[long[own]] + k] & np.uint32(0x3F)
-    out[long] = value
-    return out, np.searchsorted(at, offsets)
-
-
 def gram_buckets(chars: np.ndarray, least: int, most: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length: the start and the bucket of every n-gram of word characters, which may begin or end at a word's edge."""
     inside = _WORD[np.minimum(chars, 128)]

@@ -93,7 +93,7 @@ def test_mixing(docs):
 
 
 def test_packing(docs):
-    got = pack(docs, PackParams(capacity=1000))
+    got = pack(docs, PackParams(capacity=1000, vocabulary=None))
     per = {(r["doc_id"]): r["n"] for r in got.groupBy("doc_id").agg(F.sum("tokens").alias("n")).collect()}
     assert per == {3: None, 4: 5, 5: 10, None: 5, 6: 60_000, 7: 60_001, 9: 2} or per == {4: 5, 5: 10, None: 5, 6: 60_000, 7: 60_001, 9: 2}
     assert got.groupBy("shard", "bin").agg(F.sum("tokens").alias("n")).where("n > 1000").isEmpty()
@@ -115,7 +115,7 @@ def test_empty(spark, docs, labels):
 
 def test_top_k(spark):
     data = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (None, [1.0, 1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 1.0]), (6, [1.0]), (7, []), (8, [None, 1.0])]
-    got = top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0)), TopKParams(k=2))
+    got = top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0)), TopKParams(k=2, every=1))
     assert rows(got, "vec_id", "rank", "neighbor_id", "score") == [(1, 1, 2, 1.0), (1, 2, 5, 0.0), (2, 1, 1, 1.0), (2, 2, 5, 0.0), (5, 1, 1, 0.0), (5, 2, 2, 0.0)]
 
 

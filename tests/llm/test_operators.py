@@ -1,14 +1,22 @@
 """Operators against brute force, round trips and held-out accuracy."""
 
+import base64
 import gzip
+import hashlib
 import io
 import itertools
+import math
 import random
+import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -38,25 +46,39 @@ def test_words():
 # -- 1 top-k
 
 
-@pytest.mark.parametrize("shard_rows, leaf_rows, block_rows", [(50, 8, 20), (1000, 16, 1000)])
+@pytest.mark.parametrize("shard_rows, leaf_rows, block_rows", [(40, 8, 20), (1000, 16, 1000)])
 def test_top_k_is_exact(spark, shard_rows, leaf_rows, block_rows):
     v = np.round(RNG.normal(size=(300, 8)), 1).astype(np.float32)
-    v[100:120] = v[5]  # ties
+    v[100:200] = v[5]  # ties, and a cell that holds a third of all
+    v[7] = 0
     rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
-    p = topk.TopKParams(k=7, shard_rows=shard_rows, leaf_rows=leaf_rows, block_rows=block_rows, batch=64)
+    p = topk.TopKParams(k=7, every=3, shard_rows=shard_rows, leaf_rows=leaf_rows, block_rows=block_rows, growth=1)
     got = {(r["vec_id"], r["rank"]): (r["neighbor_id"], r["score"]) for r in topk.top_k(rows, p).collect()}
     s = np.round(v.astype(np.float64) @ v.astype(np.float64).T, 6)
-    for q in range(300):
+    assert len(got) == 700
+    for q in range(0, 300, 3):
         want = sorted((-s[q, k], k) for k in range(300) if k != q)[:7]
         assert [got[q, n + 1] for n in range(7)] == [(k, -x) for x, k in want]
 
 
 def test_bounds_hold():
-    v = RNG.normal(size=(400, 5))
-    tree = topk.BallTree(np.arange(400), v, 30)
-    q = RNG.normal(size=(50, 5))
-    for leaf, at in enumerate(tree.leaves):
-        assert (tree.bounds(q)[:, leaf] >= (q @ v[at].T).max(1) - 1e-9).all()
+    for v in (RNG.normal(size=(400, 5)), np.abs(RNG.normal(size=(400, 3))) + 2, RNG.normal(size=(1, 4)), np.zeros((9, 2))):
+        tree = topk.BallTree(np.arange(len(v)), v, 30)
+        q = np.concatenate([RNG.normal(size=(50, v.shape[1])), -v[:20], np.zeros((1, v.shape[1]))])
+        under = {}
+        for n in range(len(tree.rows) - 1, -1, -1):
+            under[n] = tree.rows[n] if tree.rows[n] is not None else np.concatenate([under[tree.left[n]], under[tree.right[n]]])
+            assert (tree.bound(q, [n])[:, 0] >= (q @ v[under[n]].T).max(1) - 1e-9).all()
+        assert sorted(under[0]) == list(range(len(v)))
+
+
+def test_branches_are_pruned_where_vectors_cluster():
+    at = RNG.normal(size=(40, 16))
+    at /= np.linalg.norm(at, axis=1, keepdims=True)
+    v = at[RNG.integers(0, 40, 4000)] + 0.05 * RNG.normal(size=(4000, 16))
+    tree = topk.BallTree(np.arange(4000), v, 32)
+    tree.search(np.full(100, -1), v[:100], np.full(100, -np.inf), 10)
+    assert tree.scored < 0.4 * 100 * 4000
 
 
 # -- 2 SimHash
@@ -124,6 +146,38 @@ def test_isolated_pairs_meet_over_the_whole_accepted_distance(spark):
     assert not found[apart > 43].any()
 
 
+def test_large_components_are_parted_in_rows(spark):
+    """Families around far centers and a chain, all in one component: whatever the rows' size, each member is near its leader."""
+    rng = np.random.default_rng(8)
+    flip = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(256, n, replace=False))
+    sims = []
+    for _ in range(4):
+        center = flip(0, 128)
+        sims += [flip(center, int(rng.integers(0, 15))) for _ in range(120)]
+    for _ in range(60):  # each near the one before
+        sims.append(flip(sims[-1], 12))
+    words = lambda x: [int.from_bytes(((x >> 64 * k) & (2**64 - 1)).to_bytes(8, "little"), "little", signed=True) for k in range(4)]
+    rows = [(comp, (k * 37) % len(sims), 0, comp * 1000 + k, *words(x)) for comp in (0, 1) for k, x in enumerate(sims[: None if comp == 0 else 7])]
+    df = spark.createDataFrame(rows, "__to long, i long, h long, node long, " + simhash._SIMS)
+    place = {r[3]: (r[0], r[1]) for r in rows}
+    groups = {}
+    for group, heads in ((10_000, 256), (50, 256), (50, 3)):
+        got = {r["node"]: r["__to"] for r in simhash.parted(df, 43, group, heads).collect()}
+        assert set(got) == set(place) and all(got[v] == v for v in got.values())
+        for node, to in got.items():
+            assert place[node][0] == place[to][0] and (sims[node % 1000] ^ sims[to % 1000]).bit_count() <= 43
+        assert got[next(n for n, at in place.items() if at == (0, 0))] in [n for n, at in place.items() if at == (0, 0)]  # the smallest leads itself
+        groups[group, heads] = len(set(got.values()))
+    assert max(groups.values()) <= 1.5 * min(groups.values())
+
+
+def test_tables_do_not_depend_on_the_input():
+    p = simhash.SimHashParams()
+    meets = sum(math.comb(p.bits, k) * p.apart**k * (1 - p.apart) ** (p.bits - k) for k in range(3))
+    assert (p.bits, p.tables) == (32, 34) and 1 - (1 - meets) ** p.tables >= 0.92
+    assert simhash.SimHashParams(bits=40).tables > 100
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(k, k + 1) for k in range(500, 560)]
@@ -159,12 +213,32 @@ def test_apportion_is_sainte_lague():
 def test_mixture_meets_its_weights(spark):
     rng = random.Random(8)
     rows = spark.createDataFrame([(k, prose(rng.randint(20, 60)), "big" if k % 10 else "small") for k in range(2000)], "doc_id long, text string, source string")
-    p = mixing.MixParams(weights=(("big", 2.0), ("small", 1.0)), block_tokens=200, shards=4)
+    p = mixing.MixParams(weights=(("big", 2.0), ("small", 1.0)), blocks=110, block_tokens=200, least_shards=4)
     got = {r["source"]: r["n"] for r in mixing.mix_sources(rows, p).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     assert got["big"] / got["small"] == pytest.approx(2, rel=0.05)
     assert mixing.mix_sources(rows, p).count() == mixing.mix_sources(rows.repartition(7), p).count()
 
 
+def test_kept_rows_are_the_mixture_s_documents(spark):
+    rng = random.Random(5)
+    rows = [(k if k % 50 else None, prose(rng.choice([0, 5, 40, 900])) if k % 9 else None, ("a", "b", "c", None, "empty")[k % 5]) for k in range(1500)]
+    docs = spark.createDataFrame([(k, "" if s == "empty" else t, s) for k, t, s in rows], "doc_id long, text string, source string").cache()
+    for share in (0.0, 0.1, 0.35, 0.62, 0.9, 1.0):
+        p = mixing.MixParams(block_tokens=300, least_shards=3, share=share)
+        want = {(r["doc_id"], r["source"]) for r in mixing.mix_sources(docs, p).collect()}
+        kept = [(r["doc_id"], r["source"]) for r in mixing.keep_mixture(docs, p).collect()]
+        assert set(kept) == want and len(kept) == sum((r["doc_id"], r["source"]) in want for r in docs.collect())
+        assert sum(s == "empty" for _, s in kept) == 300
+    assert len(kept) == 1500
+
+
+def test_quotas_stay_linear_and_whole():
+    counted = [(f"s{k}", shard, 5, 10_000) for k in range(3000) for shard in range(8)] + [("none", 0, 1, 0)]
+    got = mixing.quotas(counted, mixing.MixParams())
+    assert len(got) == len(counted) and got[0][0] == "none" and got[0][-1] == 1
+    assert sum(q for *_, q in got) - 1 == 108_000 and all(0 <= start < n for _, _, n, start, _ in got)
+
+
 @pytest.mark.parametrize("name", ["tiny", None])
 def test_tiny_source_does_not_shrink_the_pipeline_s_mixture(spark, name):
     rows = [(k, "word " * 500, f"src{k % 4}") for k in range(1600)] + [(1600, "word " * 2000, name)]
@@ -176,7 +250,7 @@ def test_tiny_source_does_not_shrink_the_pipeline_s_mixture(spark, name):
 
 def test_source_that_runs_out_leaves_its_seats():
     counted = [("a", 0, 3, 3000), ("b", 0, 100, 100000), ("c", 0, 60, 60000)]
-    got = {s: q for s, _, q in mixing.quotas(counted, mixing.MixParams(weights=(("a", 1.0), ("b", 1.0), ("c", 1.0)), share=0.5))}
+    got = {s: q for s, *_, q in mixing.quotas(counted, mixing.MixParams(weights=(("a", 1.0), ("b", 1.0), ("c", 1.0)), share=0.5))}
     assert got == {"a": 3, "b": 40, "c": 39}
 
 
@@ -206,16 +280,63 @@ def test_packing_is_optimal_on_small_sets():
     rng = random.Random(6)
     for _ in range(150):
         sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
-        bins = packing.bin_completion(sizes, 20, packing.PackParams(max_nodes=10**6, max_fillings=10**6))
+        bins = packing.bin_completion(sizes, 20, packing.PackParams(max_steps=10**7))
         assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
         assert all(sum(sizes[i] for i in b) <= 20 for b in bins)
         assert len(bins) == fewest(sorted(sizes, reverse=True), 20) >= packing.lower_bound(sizes, 20)
 
 
+def test_fillings_are_all_that_are_not_dominated_tightest_first():
+    rng = random.Random(16)
+    for _ in range(150):
+        sizes = [rng.randint(1, 12) for _ in range(rng.randint(1, 8))]
+        room, counts = rng.randint(1, 30), Counter(sizes)
+        got = [(left, f) for left, f in packing.fillings(counts, room) if f is not None]
+        subsets = {tuple(sorted(c, reverse=True)) for k in range(len(sizes) + 1) for c in itertools.combinations(sizes, k) if sum(c) <= room}
+        want = set()
+        for f in subsets:
+            left, spare = room - sum(f), counts - Counter(f)
+            if not any(v <= left or any(a < v <= a + left for a in f) for v in spare):
+                want.add((left, f))
+        assert sorted(got) == sorted(want) and [left for left, _ in got] == sorted(left for left, _ in got)
+
+
+def test_search_improves_on_best_fit(spark):
+    """6, 5, 5 + 4, 4, 4, 4 with room for 16: best fit decreasing opens a bin more than is needed."""
+    better, worse = 0, 0
+    rng = random.Random(1)
+    for _ in range(60):
+        sizes = [rng.randint(200, 1400) for _ in range(60)]
+        best, found = len(packing.best_fit(sizes, 2048)), len(packing.bin_completion(sizes, 2048))
+        better, worse = better + (found < best), worse + (found > best)
+    assert better >= 3 and not worse
+    lens = [n for _ in range(20) for n in (6, 5, 5, 4, 4, 4, 4)]
+    rows = spark.createDataFrame([(k, "w " * n) for k, n in enumerate(lens)], "doc_id long, text string")
+    got = packing.pack(rows, packing.PackParams(capacity=16, vocabulary=None)).select("shard", "bin").distinct().count()
+    assert got == 40 < len(packing.best_fit(lens, 16))
+
+
+def test_hot_document_is_spread(spark):
+    rows = spark.createDataFrame([(None if k % 3 else k, "a b c") for k in range(3000)], "doc_id long, text string")
+    got = packing.pack(rows, packing.PackParams(capacity=10, shard_pieces=300, vocabulary=None))
+    per = [r["n"] for r in got.groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert sum(per) == 3000 and max(per) < 1200 and got.where("doc_id is null").count() == 2000
+
+
+def test_bins_hold_the_tokenizer_s_tokens(spark):
+    rng = random.Random(3)
+    texts = {k: " ".join(prose(1) + rng.choice(["!", "", " 42"]) for _ in range(rng.randint(1, 90))) for k in range(80)}
+    p = packing.PackParams(capacity=64)
+    enc = token_counts.encoder(p.vocabulary)
+    got = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), p)
+    assert {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.sum("tokens").alias("n")).collect()} == {k: len(enc.encode_ordinary(t)) for k, t in texts.items()}
+    assert got.groupBy("shard", "bin").agg(F.sum("tokens").alias("n")).where("n > 64").isEmpty()
+
+
 def test_pieces_cover_documents(spark):
     rng = random.Random(9)
     rows = spark.createDataFrame([(k, " ".join(["w"] * rng.choice([0, 3, 40, 90, 250]))) for k in range(300)], "doc_id long, text string")
-    got = packing.pack(rows, packing.PackParams(capacity=100, shard_pieces=60)).collect()
+    got = packing.pack(rows, packing.PackParams(capacity=100, shard_pieces=60, vocabulary=None)).collect()
     want = {r["doc_id"]: len(r["text"].split()) for r in rows.collect() if r["text"]}
     spans = {}
     for r in got:
@@ -229,28 +350,56 @@ def test_pieces_cover_documents(spark):
 # -- 5 chat
 
 
-@pytest.mark.parametrize("most", [10**6, 3])
-def test_chat_round_trip(spark, most):
+def laid_out(turns, enc):
+    """Brute force: every conversation's nodes by dictionaries, and each tree's depth-first order by recursion."""
+    paths, least = {}, {}
+    for conv, _, role, text in sorted(turns):
+        paths[conv] = (*paths.get(conv, ()), (role, text))
+    for conv, path in paths.items():
+        for k in range(len(path)):
+            least[path[: k + 1]] = min(least.get(path[: k + 1], conv), conv)
+    out = {}
+
+    def go(path, tree, up, position, above):
+        tokens = enc.encode_ordinary(chat.template(*path[-1]))
+        node, start = counts[tree]
+        counts[tree] = (node + 1, start + len(tokens))
+        out[tree, node] = (up, start, list(range(position, position + len(tokens))), tokens, above, sorted(c for c, x in paths.items() if x == path))
+        merged = [*above[:-1], (above[-1][0], start + len(tokens))] if above and above[-1][1] == start else [*above, (start, start + len(tokens))]
+        for child in sorted((c for c in least if len(c) == len(path) + 1 and c[:-1] == path), key=least.get):
+            go(child, tree, node, position + len(tokens), merged)
+
+    counts = {}
+    for root in (p for p in least if len(p) == 1):
+        counts[least[root]] = (0, 0)
+        go(root, least[root], -1, 0, [])
+    return out
+
+
+@pytest.mark.parametrize("listed", [4096, 3])
+def test_chat_against_brute_force(spark, listed):
     rng = random.Random(12)
-    turns, want = [], {}
-    p = chat.ChatParams(most_paths=most)
+    turns, p = [], chat.ChatParams(listed=listed)
     enc = chat.encoder(p.vocabulary)
-    for c in range(60):
-        said = [("system", "be kind" if c % 3 else "be brief")] + [(("user", "assistant")[k % 2], f"line {rng.randint(0, 2)} é") for k in range(rng.randint(0, 5))]
-        turns += [(c, k, r, t) for k, (r, t) in enumerate(said)]
-        want[c] = [x for r, t in said for x in enc.encode_ordinary(chat.template(r, t))]
-    nodes = chat.chat_trees(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), p).collect()
-    assert sum(len(r["tokens"]) for r in nodes) < sum(map(len, want.values()))
-    assert sorted(c for r in nodes for c in r["conv_ids"]) == list(range(60))
-    if most > 60:
-        for tree in {r["tree_id"] for r in nodes}:
-            own = sorted((r for r in nodes if r["tree_id"] == tree), key=lambda r: r["node"])
-            emitted = [x for r in own for x in r["tokens"]]
-            for r in own:
-                above = [x for a in r["attends"] for x in emitted[a["start"] : a["end"]]]
-                assert r["position_ids"] == list(range(len(above), len(above) + len(r["tokens"])))
-                for c in r["conv_ids"]:
-                    assert above + r["tokens"] == want[c]
+    for c in range(90):
+        conv = rng.randint(0, 10**6)
+        said = [("system", "be kind" if c % 3 else "be brief")] + [(("user", "assistant")[k % 2], f"line {rng.randint(0, 2)} é") for k in range(rng.randint(0, 6))]
+        turns += [(conv, k, r, t) for k, (r, t) in enumerate(said)]
+    turns += [(-1, k, "user", "x") for k in range(400)] + [(-2, 0, "a:", "b"), (-3, 0, "a", ":b"), (-4, 0, "long", "word" * 30_000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(listed > 3).lower())  # trees go over several ranges
+    try:
+        got = chat.chat_trees(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5), p).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = laid_out(turns, enc)
+    heads = {(r["tree_id"], r["node"]): r for r in got if r["part"] == 0}
+    assert len(heads) == sum(r["part"] == 0 for r in got) and set(heads) == set(want)
+    convs = {}
+    for r in got:
+        convs.setdefault((r["tree_id"], r["node"]), []).extend(r["conv_ids"])
+        assert r["part"] == 0 or not r["tokens"]
+    for at, r in heads.items():
+        assert (r["parent_node"], r["start"], r["position_ids"], r["tokens"], [tuple(x) for x in r["attends"]], sorted(convs[at])) == want[at]
 
 
 # -- 6 exact dedup
@@ -322,6 +471,91 @@ def test_folded_scores_do_not_depend_on_slices():
     assert np.allclose(one, each) and one[-1] == one[-2] == -1e3
 
 
+def naive_grams(text, p):
+    """The n-grams of a text one by one: runs of word characters, with one neighbour of another kind, written as a space, at either end."""
+    word = lambda c: c.isascii() and (c.isalnum() or c == "_") or ord(c) >= 128
+    text = " " + text.lower() + " "
+    for n in range(p.least, p.most + 1):
+        for at in range(len(text) - n + 1):
+            own = text[at : at + n]
+            if all(map(word, own[1:-1])):
+                yield "".join(c if word(c) else " " for c in own)
+
+
+def naive_bucket(gram, bits):
+    m = 2**32 - 1
+    h = ord(gram[0]) * 0x01000193 & m
+    for c in gram[1:]:
+        h = (h ^ ord(c)) * 0x01000193 & m
+    h = h + len(gram) & m
+    h = (h ^ h >> 15) * 0x85EBCA6B & m
+    return (h ^ h >> 13) >> 32 - bits
+
+
+ODD = ["Straße ÄÖÜ mixed_Case 42", "日本語のテキスト、句読点。", "Привет МИР", "🙂🙂 emoji é", "", "  ", "a", "ab", "...", "word " * 300]
+
+
+def test_toxicity_scores_against_brute_force():
+    p = toxicity.ToxicityParams(bucket_bits=12)
+    table = RNG.normal(size=1 << p.bucket_bits).astype(np.float32)
+    texts = ODD + [prose(int(n)) for n in RNG.integers(1, 80, 20)]
+    got = toxicity.score_texts(pa.array(texts), table, 0.25, p)
+    for text, s in zip(texts, got):
+        grams = [naive_bucket(g, p.bucket_bits) for g in naive_grams(text, p)]
+        want = sum(float(table[g]) for g in grams) / (len(grams) + p.blank) + (0.25 if grams else -1e3)
+        assert s == pytest.approx(want, abs=1e-5), text
+    bounds, bucket, count, total = toxicity._bags(texts, p)
+    for k, text in enumerate(texts):
+        own = Counter()
+        for b, c in zip(bucket[bounds[k] : bounds[k + 1]], count[bounds[k] : bounds[k + 1]]):
+            own[int(b)] += int(c)
+        assert own == Counter(naive_bucket(g, p.bucket_bits) for g in naive_grams(text, p)) and total[k] == sum(own.values()) + p.blank
+
+
+def test_counts_beyond_two_bytes_are_whole():
+    p = toxicity.ToxicityParams()
+    bounds, bucket, count, total = toxicity._bags(["aaaa " * 150_000], p)
+    assert count.max() == 65535 and total[0] - p.blank == sum(map(int, count)) == sum(1 for _ in naive_grams("aaaa " * 1500, p)) * 100
+    assert len(set(bucket.tolist())) < len(bucket) == bounds[1]
+
+
+def test_quality_scores_and_updates_against_brute_force():
+    p = quality.QualityParams(bits=18, epochs=2, batch=1)
+    texts = [t for t in ODD if t.strip()] + [prose(int(n)) for n in RNG.integers(1, 40, 30)]
+    size = 1 << p.bits
+
+    def vector(text):
+        rows, f = quality.features(*next(iter(textbytes.slices(pa.array([text], pa.large_string()))))[1:], p.bits)
+        return {int(k): p.scale * n / len(f) for k, n in Counter(f.tolist()).items()}
+
+    def spelt(text):
+        """The tokens by hand, and how many distinct features they and their pairs make."""
+        kind = lambda c: "s" if c in " \t\n\r\v\f" else "w" if c.isascii() and (c.isalnum() or c == "_") or ord(c) >= 128 else "p"
+        tokens = ["".join(g) for k, g in itertools.groupby(text, kind) if k != "s"]
+        pairs = [(None,) if a == b else (a, b) for a, b in zip(tokens, tokens[1:])]
+        return Counter(tokens) + Counter(pairs)
+
+    for text in texts:
+        assert sorted(vector(text).values()) == pytest.approx(sorted(p.scale * n / sum(spelt(text).values()) for n in spelt(text).values()))
+    y = (np.arange(len(texts)) % 3 > 0).astype(int)
+    w, b = quality.fit(texts, y, p)
+    z, n, used = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    rng = np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for k in rng.permutation(len(texts)):  # one row and one feature at a time
+            x = vector(texts[k]) | {size: 1.0}
+            error = 1 / (1 + np.exp(-np.clip(sum(used[f] * v for f, v in x.items()), -30, 30))) - y[k]
+            for f, v in x.items():
+                g = error * v
+                z[f] += g - (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / p.alpha * used[f]
+                n[f] += g * g
+                l1 = 0 if f == size else p.l1
+                used[f] = 0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((p.beta + np.sqrt(n[f])) / p.alpha + p.l2)
+    assert np.allclose(w, used[:size], atol=1e-5) and b == pytest.approx(used[size])
+    for text, s in zip(texts, quality.score_texts(pa.array(texts), w, b, p)):
+        assert s == pytest.approx(sum(float(w[f]) * v for f, v in vector(text).items()) + b, abs=1e-5)
+
+
 def shout(words, rng):
     return [w + "$$$" for w in words] if rng.random() < 0.5 else [w.upper() + "!!" for w in words]
 
@@ -340,8 +574,8 @@ def test_quality_held_out():
 def test_reader_survives_faults():
     good = [warc.record([("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:x:{k}>")], bytes([k]) * (k * 5000)) for k in range(4)]
     assert [gzip.decompress(g)[:8] for g in good] == [b"WARC/1.1"] * 4
-    read = lambda data, chunk=37: [warc.parse(c) + (s,) for _, c, s in warc.members(io.BytesIO(data), chunk)]
-    assert [b for _, b, f, s in read(b"".join(good)) if f == s == "ok"] == [bytes([k]) * (k * 5000) for k in range(4)]
+    read = lambda data, chunk=37: list(warc.read_stream(io.BytesIO(data), "f", chunk))
+    assert [r["block"] for r in read(b"".join(good)) if r["status"] == "ok" and r["digest_ok"]] == [bytes([k]) * (k * 5000) for k in range(4)]
     broken = bytearray(good[1])
     broken[len(broken) // 2] ^= 255
     got = list(warc.read_stream(io.BytesIO(good[0] + bytes(broken) + good[2] + good[3][:-9]), "f"))
@@ -354,6 +588,44 @@ def test_reader_survives_faults():
     assert [r["status"] for r in warc.read_stream(io.BytesIO(short), "f")] == ["short block"]
 
 
+def raw(block, *headers):
+    return "\r\n".join(["WARC/1.0", *headers, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_digests_of_any_spelling():
+    block = b"some block"
+    sha1, sha256 = hashlib.sha1(block), hashlib.sha256(block)
+    b32 = lambda h: base64.b32encode(h.digest()).decode()
+    cases = {
+        f"sha1:{b32(sha1)}": True, f"sha1:{b32(sha1).lower()}": True, f"sha1:{sha1.hexdigest()}": True, f"SHA-256:{sha256.hexdigest().upper()}": True, f"sha256:{b32(sha256)}": True,
+        f"sha256:{b32(sha256).rstrip('=')}": True, f"sha1:{sha256.hexdigest()}": False, "sha1:": False, "crc32:abcd": None, "blake3:xyz": None,
+    }
+    for stated, ok in cases.items():
+        (row,) = warc.read_stream(io.BytesIO(gzip.compress(raw(block, f"WARC-Block-Digest: {stated}"))), "f")
+        assert (row["status"], row["digest_ok"]) == ("ok", ok), stated
+
+
+def test_several_records_in_a_member():
+    blocks = [b"one", b"", b"x" * 3_000_000, b"WARC/1.0 within"]
+    data = gzip.compress(b"".join(raw(b) for b in blocks)) + gzip.compress(raw(b"next"))
+    for chunk in (11, 1 << 16):
+        got = list(warc.read_stream(io.BytesIO(data), "f", chunk))
+        assert [(r["block"], r["place"], r["status"]) for r in got] == [(b, k, "ok") for k, b in enumerate(blocks)] + [(b"next", 0, "ok")]
+    loose = gzip.compress(raw(b"a")[:-2] + raw(b"b")) + gzip.compress(raw(b"c"))
+    assert [(r["block"], r["status"]) for r in warc.read_stream(io.BytesIO(loose), "f")] == [(b"a", "bad end"), (b"b", "ok"), (b"c", "ok")]
+
+
+def test_a_large_member_is_read_record_by_record():
+    pack = zlib.compressobj(9, zlib.DEFLATED, 31)
+    block = raw(b"y" * 1_000_000)
+    data = b"".join(pack.compress(block) for _ in range(60)) + pack.flush()
+    tracemalloc.start()
+    n = sum(r["status"] == "ok" for r in warc.read_stream(io.BytesIO(data), "f"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60 and peak < 12_000_000
+
+
 # -- 10 token counts
 
 
@@ -365,8 +637,42 @@ def test_token_counts_are_the_tokenizer_s(spark):
     assert got == {k: len(enc.encode_ordinary(t)) for k, t in enumerate(texts)}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZ's tredvm lé日я9²½ \n\t\u00a0\u3000'!-_🙂́\u0378\x1c\x85"), max_size=40), min_size=1, max_size=4))
+def test_pieces_are_the_pattern_s(texts):
+    column = pa.array(texts, pa.string())
+    ((_, buf, offsets),) = token_counts.raw_slices(column)
+    rows, starts, ends, _ = token_counts.split(buf, offsets)
+    want = [(k, m) for k, t in enumerate(texts) for m in regex.findall(token_counts.PATTERN.replace("\\s", "\\p{White_Space}").replace("(?!\\S)", "(?!\\P{White_Space})").replace("[^\\p{White_Space}", "[^\\p{White_Space}"), t)]
+    assert [(r, buf[a:b].tobytes().decode()) for r, a, b in zip(rows, starts, ends)] == want
+    p = token_counts.TokenParams(cache=20)
+    assert token_counts.Lengths(token_counts.Table(), p).count(column).tolist() == [len(token_counts.encoder(p.vocabulary).encode_ordinary(t)) for t in texts]
+
+
+def test_long_run_without_a_space():
+    p = token_counts.TokenParams()
+    texts = ["x" * 300_000, "1" * 70_000, "'s" * 50_000, "-" * 90_000, "", None]
+    got = token_counts.Lengths(token_counts.Table(), p).count(pa.array(texts)).tolist()
+    assert got == [len(token_counts.encoder(p.vocabulary).encode_ordinary(t)) if t else 0 for t in texts]
+
+
+def test_table():
+    rng = np.random.default_rng(1)
+    table, known = token_counts.Table(4), {}
+    for _ in range(30):
+        h = np.unique(rng.integers(1, 5000, 200).astype(np.uint64))
+        h = h[[int(x) not in known for x in h]]
+        v = rng.integers(0, 99, len(h)).astype(np.int32)
+        table.add(h, v)
+        known |= dict(zip(h.tolist(), v.tolist()))
+        ask = rng.integers(1, 6000, 500).astype(np.uint64)
+        got, there = table.find(ask)
+        assert [int(g) if t else None for g, t in zip(got, there)] == [known.get(int(x)) for x in ask]
+
+
 def test_summary_keeps_what_is_frequent():
     s = token_counts.Summary(10)
     for k in range(300):
-        s.add(["often", f"x{k}", "often", f"y{k}"])
-    assert s.top(1)[0][0] == "often"
+        ((_, buf, offsets),) = token_counts.raw_slices(pa.array([f"often x{k} often y{k} often"]))
+        s.add(buf, *token_counts.split(buf, offsets)[1:3])
+    assert s.top(1)[0][0] == " often"

@@ -4,8 +4,9 @@ import pytest
 from compare import DIR, assert_same
 
 import corpus_pipeline
+from siltstone.llm.packing import PackParams
 from siltstone.llm.queries import ORACLE_SQL, QUERIES
-from siltstone.llm.shared import word_count
+from siltstone.llm.token_counts import counter
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -29,6 +30,6 @@ def test_pipeline_by_hand(spark):
             assert after.count() == after.select("text").distinct().count() == kept.select("text").distinct().count()
         kept = after
     got = corpus_pipeline.run(spark, DIR)
-    want = sum(r["n"] for r in kept.select(word_count("text").alias("n")).collect())
+    want = sum(r["n"] for r in kept.select(counter(PackParams().vocabulary)("text").alias("n")).collect())
     assert got.agg({"tokens": "sum"}).first()[0] == want
     assert got.groupBy("shard", "bin").sum("tokens").where("`sum(tokens)` > 2048").isEmpty()
