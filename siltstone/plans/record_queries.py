@@ -245,6 +245,24 @@ def k1(spark, d):
     return spark.read.parquet(f"{folder}/chunks").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query("a2_changed_pages", "select 'p' || page_id as title, length(html) as n, '2024-01-0' || (page_id % 3 + 1) as changed from pages")
+def a2(spark, d):
+    """Pages of a source of changes, batch by batch, into a table: many share a time, and none is lost or read twice."""
+    folder = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    spark.dataSource.register(S.ChangedPages)
+    pages = spark.readStream.format("changed_pages").option("fetch", "siltstone.streaming.jobs:parquet_pages").option("path", f"{d}/pages.parquet").load()
+
+    def process(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    stream = pages.writeStream.foreachBatch(process).option("checkpointLocation", f"{folder}/state").start()
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return spark.read.parquet(f"{folder}/out").select("title", F.length("text").alias("n"), "changed")
+
+
 @query("a3_site_crawl")
 def a3(spark, d):
     p = table(spark, d, "pages")

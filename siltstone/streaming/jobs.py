@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,11 +70,26 @@ def run_updates(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.parquet(f"{folder}/out")
 
 
+#: From a time and a number: the pages (title, text, changed) that changed at that time or later, in the order of time, so many at most; and how many are left.
 Fetch = Callable[[str, int], tuple[list[tuple[str, str, str]], int]]
 
 
+def parquet_pages(options: dict[str, str]) -> Fetch:
+    """A fetcher over a Parquet table of pages (option ``path``), whose day of change follows from page_id."""
+    import pyarrow.dataset as ds
+
+    rows = ds.dataset(options["path"]).to_table(columns=["page_id", "html"]).to_pylist()
+    pages = sorted(((f"p{r['page_id']}", r["html"] or "", f"2024-01-{r['page_id'] % 3 + 1:02d}") for r in rows), key=lambda r: r[2])
+
+    def fetch(since: str, most: int) -> tuple[list[tuple[str, str, str]], int]:
+        due = [r for r in pages if r[2] >= since]
+        return due[:most], max(0, len(due) - most)
+
+    return fetch
+
+
 class ChangedPages(DataSource):
-    """Pages changed since an offset, from an injected fetcher; option ``fetch`` names it in FETCHERS.
+    """Pages changed since an offset, from an injected fetcher: option ``fetch`` names it in FETCHERS, or, as module:function, what makes one from the options.
 
     Batch reads give all pages. The stream's offset is what the source's watermark file would be: it moves on only when a fetch succeeded.
     """
@@ -88,10 +104,14 @@ class ChangedPages(DataSource):
         return "title string, text string, changed string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Pages(self.FETCHERS[self.options["fetch"]])
+        return _Pages(self._fetcher())
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Changes(self.FETCHERS[self.options["fetch"]])
+        return _Changes(self._fetcher())
+
+    def _fetcher(self) -> Fetch:
+        module, _, name = self.options["fetch"].partition(":")
+        return getattr(importlib.import_module(module), name)(self.options) if name else self.FETCHERS[module]
 
 
 class _Pages(DataSourceReader):
@@ -117,19 +137,16 @@ class _Changes(SimpleDataSourceStreamReader):
         return {"since": "", "seen": []}
 
     def _after(self, start: dict, most: int) -> list[tuple[str, str, str]]:
-        """What changed after an offset, in the order of time and title. Pages of the offset's own time are asked for again."""
-        rows, want = [], most
+        """What changed after an offset, in the order of time and title, without the last time if more pages may have it."""
+        seen = set(start["seen"])
         while True:
-            got, total = self.fetch(start["since"], want + len(start["seen"]))
-            rows = sorted({r for r in got if (r[2], r[0]) > (start["since"], "") and not (r[2] == start["since"] and r[0] in start["seen"])}, key=lambda r: (r[2], r[0]))
-            # a page that ends among pages of one time is asked for again, larger, so that none of them is lost
-            if len(got) >= total or len({r[2] for r in got}) > 1:
-                break
-            want *= 2
-        if len(got) < total and rows:
-            last = rows[-1][2]
-            rows = [r for r in rows if r[2] < last] or rows
-        return rows
+            got, left = self.fetch(start["since"], most + len(seen))
+            new = sorted({r for r in got if not (r[2] == start["since"] and r[0] in seen)}, key=lambda r: (r[2], r[0]))
+            if left:
+                new = [r for r in new if r[2] < got[-1][2]]
+            if new or not left:
+                return new
+            most *= 2  # a fetch that ends among pages of one time is made again, larger
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows = self._after(start, self.PAGE)

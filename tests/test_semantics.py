@@ -238,19 +238,54 @@ def test_bm25_paths_agree(spark):
 
 
 def test_changed_pages_source(spark):
-    from siltstone.streaming.jobs import ChangedPages
+    from siltstone.streaming.jobs import ChangedPages, _Changes
+
+    pages = [(f"p{k}", "text", f"2024-01-{1 + k // 7:02d}") for k in range(40)]  # seven pages a day
 
     def fetch(since, most):
-        rows = [(f"p{k}", "text", f"2024-01-{k:02d}") for k in range(1, 6)]
-        return [r for r in rows if r[2] > since][:most], 0
+        due = [r for r in pages if r[2] >= since]
+        return due[:most], max(0, len(due) - most)
 
     ChangedPages.FETCHERS["test"] = fetch
     reader = ChangedPages({"fetch": "test"})
-    assert len(list(reader.reader(T.StructType()).read(None))) == 5
+    assert len(list(reader.reader(T.StructType()).read(None))) == 40
     stream = reader.simpleStreamReader(T.StructType())
-    rows, after = stream.read(stream.initialOffset())
-    assert len(list(rows)) == 5 and after == {"since": "2024-01-05"} and list(stream.read(after)[0]) == []
-    assert len(list(stream.readBetweenOffsets({"since": "2024-01-02"}, {"since": "2024-01-04"}))) == 2
+    for most in (1, 3, 7, 8, 500):  # however a fetch falls on the days, every page comes once
+        _Changes.PAGE, at, got = most, stream.initialOffset(), []
+        while True:
+            rows, after = stream.read(at)
+            rows = list(rows)
+            assert rows == list(stream.readBetweenOffsets(at, after))
+            if not rows:
+                break
+            got, at = got + rows, after
+        assert got == sorted(pages, key=lambda r: (r[2], r[0])) and after == at
+    pages.append(("late", "text", "2024-01-06"))  # of a time that was read before
+    assert [r[0] for r in stream.read(at)[0]] == ["late"]
+    _Changes.PAGE = 500
+
+
+def test_passages_are_found_in_one_pass(spark):
+    rng = random.Random(5)
+    docs = [(k, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 60)))) for k in range(80)] + [(80, None), (81, "")]
+    passages = [(k, "".join(rng.choice("abc ") for _ in range(rng.randint(1, 4)))) for k in range(40)] + [(40, ""), (41, None), (42, "zz"), (43, "ab"), (44, "ab")]
+    from siltstone.operators import passages as P
+
+    got = {tuple(r) for r in P.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "query_id long, passage string")).collect()}
+    assert got == {(q, k) for q, p in passages for k, t in docs if p and t and p in t}
+
+
+def test_titles_are_resolved_as_by_comparing_all(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abde") for _ in range(rng.randint(2, 6)))
+    titles = [" ".join(word() for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["", "The Old Mill: history", "Zürich"]
+    entities = [(k, " ".join(rng.choice(titles[:300]).split()[:3]) or "x") for k in range(30)] + [(30, "old mil"), (31, None), (32, "nothing like it at all"), (33, "!!")]
+    got = {r["query_id"]: (r["title"], r["score"]) for r in R.resolve_titles(spark.createDataFrame(entities, "query_id long, entity string"), spark.createDataFrame([(t,) for t in titles], "title string"), most_entities=7).collect()}
+    for k, e in entities:
+        scores = [(Q.similarity(e, t), t) for t in titles] if e else []
+        best = max(scores, default=(0, ""))
+        want = (best[1], round(best[0], 6)) if best[0] >= 0.84 else (None, None)
+        assert got.get(k, (None, None)) == want, e
 
 
 def test_zstd_round_trip(spark):
