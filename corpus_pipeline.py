@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next.
+
+Null, empty and very long texts, ties, repeated rows and columns of any name are treated as the operators' docstrings say: all stages but the last
+return rows of their input as they are, texts without words pass the filters (equal ones are exact copies of each other), and empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("simhash_near_dedup", near), ("mixing", mix), ("packing", packed)]
 
-#: A trained model and SimHash are beyond SQL; tests hold each stage against a brute-force version.
+#: A trained model and SimHash are beyond SQL; tests hold each stage against a naive version of it in Python.
 ORACLE_SQL = None
 
 
