@@ -16,6 +16,7 @@ from .textbytes import slices, tidy
 BROADCAST_BYTES = 16 << 20
 ROW_OVERHEAD = 64  # what a row of a broadcast hash relation takes besides its fields
 TEXT_BATCH = 1000
+TEXT_BATCH_BYTES = 4 << 20
 
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 13, 32]] = True
@@ -40,10 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def lean(spark: SparkSession) -> None:
-    """Texts go to Python workers in batches of at most so many rows: of the default 10,000, long texts fill tens of MB in the JVM and the worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
-        spark.conf.set(name, str(TEXT_BATCH))
+    """Texts go to Python workers in batches of at most so many rows and bytes (a longer text is a batch of its own): of the
+    default 10,000 rows, long texts fill tens of MB in the JVM and the worker."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)):
+        held = spark.conf.get(name).lower()
+        if not (held.rstrip("b").isdigit() and 0 < int(held.rstrip("b")) <= most):
+            spark.conf.set(name, str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from .textbytes import points, span_hashes, tidy
 
 #: How texts are split before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,7 @@ class Table:
         if 2 * self.used > len(self.keys):
             on = self.keys != 0
             h, values = np.concatenate([self.keys[on], h]), np.concatenate([self.values[on], values])
-            room = 1 << int(4 * self.used - 1).bit_length()
+            room = 1 << int(2 * self.used - 1).bit_length()
             self.keys, self.values = np.zeros(room, np.uint64), np.zeros(room, np.int32)
         mask = np.uint64(len(self.keys) - 1)
         at, left = h & mask, np.arange(len(h))

@@ -62,7 +62,7 @@ def gram_buckets(chars: np.ndarray, least: int, most: int, bits: int) -> Iterato
             yield at, (g ^ (g >> np.uint32(13))) >> np.uint32(32 - bits)
 
 
-def _slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _slices(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """:func:`slices` of lower-cased texts, as characters."""
     for first, buf, offsets in slices(pc.utf8_lower(column), limit):
         yield first, *points(buf, offsets)
