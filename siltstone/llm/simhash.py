@@ -2,10 +2,13 @@
 
 A text has a SimHash of 256 bits over its set of words, of which each table takes ``bits`` as its fingerprint. A fingerprint emits
 itself and all its variants at distance 1, half the radius of 2: two fingerprints within the radius meet
-at a variant, whatever bits they differ in. Texts that meet are verified by the distance of their whole
-SimHash; in a bucket every member is compared with a leader, and those that fail find another leader
+at a variant, whatever bits they differ in. Variants are not shuffled: of three runs of a fingerprint's bits, two fingerprints within the
+radius have at least one in common, so each run names a cell, a text's SimHash goes to these three, and variants in the other bits are
+made and met there, a cell at a time. Texts that meet
+are verified at once by the distance of their whole SimHash, so that of texts that meet by chance, whose number grows faster than the
+input, nothing leaves the task; in a bucket every member is compared with a leader, and those that fail find another leader
 among themselves, so large buckets need neither a cap nor all pairs. What has one fingerprint is led in the task that
-emits it, so that of a large group of copies few are shuffled to a bucket. Verified pairs are joined to components,
+sends it, so that of a large group of copies few are shuffled to a cell. Verified pairs are joined to components,
 in which members are led once more, so that every text of a group is a verified near copy of the one that stays.
 """
 
@@ -27,7 +30,10 @@ from .textbytes import lower, mix, slices, tidy, words
 
 WORDS = 4  # 64-bit words of a whole SimHash
 BITS = 64 * WORDS
-ROUND = 6  # tables whose keys are shuffled at once
+ROUND = 6  # tables whose cells are shuffled at once
+KEYS = 1 << 22  # keys that are sorted at once
+HEADS = 64  # leaders of a bucket that are found one by one; then as many at once
+_NODE = np.dtype([("id", "<i8"), ("s", "<u8", WORDS)])
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
 
@@ -35,12 +41,14 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.
 class SimHashParams:
     """bits: of a table's fingerprint; wider ones meet by chance more seldom and need more tables. apart is the largest share of
     differing bits of a verified pair, recall the share of pairs that far apart that must meet; the number of tables follows from
-    these three alone. group: members of a component that are led in one row."""
+    these three alone. group: members of a component that are led in one row. cell: about how many SimHashes of a table meet in one cell;
+    it changes no result."""
 
     bits: int = 32
     recall: float = 0.92
     apart: float = 0.17
     group: int = 20_000
+    cell: int = 32_768
 
     @property
     def tables(self) -> int:
@@ -80,7 +88,8 @@ def simhashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def balls(sims: np.ndarray, bits: int, tables: int, first: int = 0) -> np.ndarray:
-    """n x tables x (bits + 1): each fingerprint of the tables from ``first`` on and its variants at distance 1, hashed together with the table's number."""
+    """n x tables x (bits + 1): each fingerprint of the tables from ``first`` on and its variants at distance 1, hashed together with the table's number:
+    what :func:`buckets` meets by, made outright."""
     flips = np.concatenate([[0], 1 << np.arange(bits, dtype=np.int64)]).astype(np.uint64)
     out = np.empty((len(sims), tables, bits + 1), np.uint64)
     for t in range(tables):
@@ -101,26 +110,49 @@ def fingerprint(sims: np.ndarray, table: int, bits: int) -> np.ndarray:
     return out
 
 
-def buckets(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and nodes (ascending, distinct) of the keys that more than one node has; equal lists once."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    fresh = np.ones(len(keys), dtype=bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[fresh], nodes[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(keys))
-    some = ends - starts > 1
-    starts, ends = starts[some], ends[some]
-    if not len(starts):
-        return np.zeros(1, np.int64), np.zeros(0, np.int64)
-    sums = np.concatenate([[0], np.cumsum(mix(nodes.view(np.uint64)), dtype=np.uint64)])
-    name = sums[ends] - sums[starts]  # names a set; sets of one size and name are the same
-    _, first = np.unique(np.stack([name, (ends - starts).astype(np.uint64)], axis=1), axis=0, return_index=True)
-    starts, ends = starts[first], ends[first]
-    lens = ends - starts
-    at = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-    return np.concatenate([[0], np.cumsum(lens)]), nodes[at]
+def targets(prints: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and cells, in the order of cells: where each fingerprint goes, which is to one cell for each of its first three runs of ``depth`` bits; all to cell 0 if depth is 0."""
+    runs = np.arange(3 if depth else 1, dtype=np.uint64)
+    cells = (prints[:, None] >> runs * np.uint64(depth) & np.uint64((1 << depth) - 1) | runs << np.uint64(depth)).reshape(-1)
+    order = np.argsort(cells, kind="stable")
+    return order // len(runs), cells[order].astype(np.int64)
+
+
+def buckets(prints: np.ndarray, bits: int, depth: int, cell: int, keys: int = KEYS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the fingerprints that went to a cell, offsets and positions (ascending) of those that share a variant whose bits differ
+    outside of the cell's run; equal lists once. About ``keys`` variants are held at a time, a part of the cell after the other."""
+    run = range((cell >> depth) * depth, (cell >> depth) * depth + depth)
+    flips = [0, *(1 << k for k in range(bits) if k not in run)]
+    low = np.uint64(max(1, len(prints) - 1).bit_length())
+    if bits + int(low) > 64:
+        raise ValueError(f"{len(prints)} fingerprints of {bits} bits are too many for a cell")
+    every, parts = np.arange(len(prints), dtype=np.uint64), -(-len(prints) * len(flips) // keys)
+    for part in range(parts):
+        made = []
+        for flip in flips:
+            key, at = prints ^ np.uint64(flip), every
+            if parts > 1:
+                on = mix(key) % np.uint64(parts) == np.uint64(part)
+                key, at = key[on], at[on]
+            made.append(key << low | at)
+        made = np.concatenate(made)
+        made.sort()
+        key = made >> low
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        del key
+        starts, lens = edge[:-1], np.diff(edge)
+        some = lens > 1
+        starts, lens = starts[some], lens[some]
+        at = (made[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        del made
+        if not len(at):
+            continue
+        # a name of the set and its size: two sets of one name are the same
+        starts = np.cumsum(lens) - lens
+        name = mix(np.add.reduceat(mix(at.astype(np.uint64) + np.uint64(1)), starts) ^ lens.astype(np.uint64))
+        first = np.sort(np.unique(name, return_index=True)[1])
+        starts, lens = starts[first], lens[first]
+        yield np.concatenate([[0], np.cumsum(lens)]), at[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
 
 
 def lead(offsets: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
@@ -129,13 +161,32 @@ def lead(offsets: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
     leader = np.full(len(sims), -1)
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     open_ = np.arange(len(sims))
-    while len(open_):
+    for _ in range(HEADS):
+        if not len(open_):
+            return leader
         own = of[open_]
         first = open_[np.concatenate([[True], own[1:] != own[:-1]])]
         to = first[np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))]
         far = np.bitwise_count(sims[open_] ^ sims[to]).sum(1) > most
         leader[open_[~far]] = to[~far]
         open_ = open_[far]
+    # the few buckets of many leaders: the next of them at once
+    for mine in np.split(open_, np.flatnonzero(np.diff(of[open_])) + 1):
+        while len(mine):
+            heads = mine[:HEADS]
+            close = np.bitwise_count(sims[heads][:, None] ^ sims[heads]).sum(2) <= most
+            on: list[int] = []
+            for k in range(len(heads)):
+                if not close[k, on].any():
+                    on.append(k)
+            left = []
+            for lo in range(0, len(mine), 4096):
+                some = mine[lo : lo + 4096]
+                near = np.bitwise_count(sims[some][:, None] ^ sims[heads[on]]).sum(2) <= most
+                found = near.any(1)
+                leader[some[found]] = heads[on][near[found].argmax(1)]
+                left.append(some[~found])
+            mine = np.concatenate(left)
     return leader
 
 
@@ -168,67 +219,56 @@ def groups(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     # equal SimHashes are one node from here on
     nodes = cut(rows.groupBy(*sims).agg(F.min(order).alias("__least")).withColumn("node", F.monotonically_increasing_id()))
     bits, tables, most = p.bits, p.tables, int(p.apart * BITS)
+    depth = min(bits // 3, max(0, math.ceil(math.log2(max(1, nodes.count()) / p.cell))))
 
-    def emit(first: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys and nodes. Of nodes with one fingerprint, whose balls are the same, those that are near a leader are paired with it (to) and send no keys."""
+    def send(first: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nodes by table and cell. Of nodes with one fingerprint, whose variants are the same, those that are near a leader are paired with it (table -1) and not sent."""
         for s, ids in _held(batches):
             for t in range(first, min(tables, first + ROUND)):
-                print_ = fingerprint(s, t, bits)
-                by = np.lexsort((ids, print_))
-                cuts = np.flatnonzero(np.concatenate([[True], print_[by][1:] != print_[by][:-1], [True]]))
+                prints = fingerprint(s, t, bits)
+                by = np.lexsort((ids, prints))
+                cuts = np.flatnonzero(np.concatenate([[True], prints[by][1:] != prints[by][:-1], [True]]))
                 to = lead(cuts, s[by], most)
                 leads = to == np.arange(len(by))
-                member, own = by[~leads], by[leads]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[member]), pa.array(ids[by[to[~leads]]]), pa.array(ids[member])], names=["key", "node", "to"])
-                for lo in range(0, len(own), 4000):
-                    part = own[lo : lo + 4000]
-                    keys = balls(s[part], bits, 1, t)
-                    node = np.repeat(ids[part], keys.shape[2])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node), pa.nulls(len(node), pa.int64())], names=["key", "node", "to"])
+                if not leads.all():
+                    pairs = np.stack([ids[by[to[~leads]]], ids[by[~leads]]], axis=1)
+                    yield _blobs(-1, np.full(len(pairs), ids[0] % 997), pairs)
+                own = by[leads]
+                at, cells = targets(prints[own], depth)
+                sent = np.empty(len(at), _NODE)
+                sent["id"], sent["s"] = ids[own[at]], s[own[at]]
+                yield _blobs(t, cells, sent)
         tidy()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for b in batches:
-            if b.column(2).null_count < len(b):
-                pairs = b.filter(b.column(2).is_valid())
-                both = np.stack([pairs.column(k).to_numpy() for k in (1, 2)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(both) + 1, 2), pa.int32()), pa.array(np.sort(both, axis=1).reshape(-1)))], names=["nodes"])
-                b = b.filter(b.column(2).is_null())
-            if len(b):
-                held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
-        if held:
-            offsets, nodes = buckets(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-            del held
-            tidy()
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(nodes))], names=["nodes"])
-
-    def lead_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.column(0)
-            members = rows.flatten()
-            ids = members.field(0).to_numpy()
-            s = np.stack([members.field(k + 1).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
-            lens = rows.value_lengths().to_numpy()
-            order = np.lexsort((ids, np.repeat(np.arange(len(lens)), lens)))
-            ids, to = ids[order], lead(np.concatenate([[0], np.cumsum(lens)]), s[order], most)
-            apart = to != np.arange(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[to[apart]]), pa.array(ids[apart])], names=["a", "b"])
+        """Verified pairs, from the rows of :func:`send` in the order of table and cell."""
+        pairs = lambda x: pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+        for (t, cell), data in _by_cell(batches):
+            if t < 0:
+                yield pairs(np.frombuffer(data, np.int64).reshape(-1, 2))
+                continue
+            there = np.frombuffer(data, _NODE)
+            there = there[np.argsort(there["id"])]
+            ids, s = there["id"], np.ascontiguousarray(there["s"])
+            for offsets, at in buckets(fingerprint(s, t, bits), bits, depth, cell):
+                to = at[lead(offsets, s[at], most)]
+                apart = to != at
+                # positions ascend with nodes, so a pair is one number
+                both = np.unique(to[apart] * len(ids) + at[apart])
+                yield pairs(np.stack([ids[both // len(ids)], ids[both % len(ids)]], axis=1))
+        tidy()
 
     def met(first: int) -> DataFrame:
-        emitted = nodes.select(*sims, "node").mapInArrow(partial(emit, first), "key long, node long, to long")
-        # a task sorts the keys that it gets; what it gets is bounded by the size of a shuffle partition
-        lists = emitted.repartition("key").mapInArrow(meet, "nodes array<long>").distinct()
-        return cut(lists.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")))
+        sent = nodes.select(*sims, "node").mapInArrow(partial(send, first), "table int, cell long, data binary")
+        # a task holds one cell at a time
+        return cut(sent.repartition("table", "cell").sortWithinPartitions("table", "cell").mapInArrow(meet, "a long, b long").distinct())
 
     rounds = []
     for first in range(0, tables, ROUND):
         rounds.append(met(first))
         gc.collect()  # shuffle files stay until the driver collects what refers to them
         docs.sparkSession.sparkContext._jvm.System.gc()
-    members = reduce(DataFrame.unionAll, rounds).join(nodes.select("node", *sims), "node")
-    listed = members.groupBy("bucket", F.col("node")).agg(*[F.first(c).alias(c) for c in sims]).groupBy("bucket").agg(F.collect_list(F.struct("node", *sims)).alias("members"))
-    pairs = cut(listed.select("members").mapInArrow(lead_buckets, "a long, b long").distinct())
+    pairs = cut(reduce(DataFrame.unionAll, rounds).distinct())
     # what is linked through others only is parted again: a component's members go to leaders, smallest doc_id first
     linked = components(pairs)
     linked = linked.unionAll(linked.select(F.col("__to").alias("node"), "__to").distinct()).join(nodes, "node").select("__to", "__least.i", "__least.h", "node", *sims)
@@ -252,6 +292,28 @@ def _held(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[tup
         yield np.concatenate([s for s, _ in held]), np.concatenate([i for _, i in held])
 
 
+def _blobs(table: int, cells: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """One row for each cell, with the bytes of its rows; cells ascend."""
+    starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(cells)) if len(cells) else starts
+    data = pa.array([rows[lo:hi].tobytes() for lo, hi in zip(starts, ends)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), table, np.int32)), pa.array(cells[starts].astype(np.int64)), data], names=["table", "cell", "data"])
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], bytes]]:
+    """Joins the bytes of the rows of each table and cell, which follow each other."""
+    at, held = None, []
+    for b in batches:
+        for t, cell, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            if (t, cell) != at:
+                if held:
+                    yield at, b"".join(held)
+                at, held = (t, cell), []
+            held.append(data.as_py())
+    if held:
+        yield at, b"".join(held)
+
+
 def _members(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of lists of (i, h, node, SimHash): offsets, and the members' fields, in the order of i and h within a list."""
     lens, members = column.value_lengths().to_numpy(), column.flatten()

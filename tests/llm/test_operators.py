@@ -146,6 +146,64 @@ def test_isolated_pairs_meet_over_the_whole_accepted_distance(spark):
     assert not found[apart > 43].any()
 
 
+def test_cells_meet_as_whole_balls_do():
+    rng = np.random.default_rng(21)
+    sims = rng.integers(0, 2**63, (700, 4), dtype=np.uint64)
+    sims[300:] = sims[rng.integers(0, 300, 400)]
+    for _ in range(3):
+        sims[300:] ^= np.uint64(1) << rng.integers(0, 60, (400, 4)).astype(np.uint64)
+    for bits, table in ((32, 0), (40, 1)):
+        balls = [set(x) for x in simhash.balls(sims, bits, 1, table)[:, 0].tolist()]
+        want = {(a, b) for b in range(len(sims)) for a in range(b) if balls[a] & balls[b]}
+        assert len(want) > 200
+        prints = simhash.fingerprint(sims, table, bits)
+        for depth, keys in ((0, 1 << 22), (1, 1 << 22), (4, 1 << 22), (bits // 3, 1 << 22), (0, 500), (3, 100)):
+            at, cells = simhash.targets(prints, depth)
+            assert len(at) == len(sims) * (3 if depth else 1)
+            got = set()
+            for cell in np.unique(cells).tolist():
+                there = np.sort(at[cells == cell])
+                for offsets, nodes in simhash.buckets(prints[there], bits, depth, cell, keys):
+                    for own in np.split(there[nodes], offsets[1:-1]):
+                        got |= set(itertools.combinations(own.tolist(), 2))
+            assert got == want
+
+
+def test_lead_of_many_leaders():
+    rng = np.random.default_rng(5)
+    sims = rng.integers(0, 2**63, (400, 4), dtype=np.uint64)
+    sims[200:] = sims[rng.integers(0, 200, 200)] ^ np.uint64(1)
+    offsets = np.array([0, 3, 330, 400])
+    want = []
+    for lo, hi in itertools.pairwise(offsets.tolist()):
+        heads = []
+        for k in range(lo, hi):
+            near = [h for h in heads if np.bitwise_count(sims[k] ^ sims[h]).sum() <= 20]
+            heads += [] if near else [k]
+            want.append(near[0] if near else k)
+    assert len(set(want[3:330])) > 2 * simhash.HEADS
+    assert simhash.lead(offsets, sims, 20).tolist() == want
+
+
+def test_texts_that_meet_by_chance_stay_in_their_task(spark, monkeypatch):
+    """Texts that share most words but are too far apart: thousands of pairs meet in a table, and nothing of them is written."""
+    common = " ".join(f"c{k}" for k in range(200))
+    rows = [(k, common + "".join(f" t{k}x{j}" for j in range(120))) for k in range(1500)]
+    sims, _ = simhash.simhashes(pa.array([t for _, t in rows]))
+    prints = simhash.fingerprint(sims, 0, 32)
+    assert (np.bitwise_count(prints[:, None] ^ prints) <= 2).sum() > len(rows) * 3
+    sizes, cut = [], simhash.cut
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(sizes) <= len(rows)
+
+
 def test_large_components_are_parted_in_rows(spark):
     """Families around far centers and a chain, all in one component: whatever the rows' size, each member is near its leader."""
     rng = np.random.default_rng(8)
