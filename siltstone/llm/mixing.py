@@ -17,8 +17,11 @@ from dataclasses import dataclass
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegralType, StringType
 
 from .shared import BROADCAST_BYTES, cut, lean, packed, small
 from .token_counts import counter
@@ -138,11 +141,20 @@ def _blocks(docs: DataFrame, p: MixParams) -> tuple[DataFrame, DataFrame, int]:
     block = F.expr("cast(case when all = 0 then 0 else least(number - 1, upto * number div all) end as bigint)")
     blocks = cut(summed.withColumn("number", number).select("doc_id", "source", "shard", "tokens", "at", "number", block.alias("block")))
     counted = blocks.groupBy("source", "shard").agg(F.max("number"), F.sum("tokens")).collect()  # one row a source and shard
-    kind = blocks.schema["source"].dataType.simpleString()
-    quota = docs.sparkSession.createDataFrame(quotas([tuple(r) for r in counted], p), f"s {kind}, k long, n long, start long, quota long")
+    quota = _local(docs.sparkSession, quotas([tuple(r) for r in counted], p), blocks.schema["source"].dataType)
     return blocks, F.broadcast(quota) if len(counted) * 128 <= BROADCAST_BYTES else quota, shards
 
 
+def _local(spark: SparkSession, rows: list[tuple], kind: DataType) -> DataFrame:
+    """(s, k, n, start, quota), handed over in Arrow: rows of tuples would pass through Python workers of another kind, which stay beside the others."""
+    names = ("s", "k", "n", "start", "quota")
+    schema = f"s {kind.simpleString()}, " + ", ".join(f"{c} long" for c in names[1:])
+    if not isinstance(kind, (StringType, IntegralType)):
+        return spark.createDataFrame(rows, schema)
+    kinds = [to_arrow_type(kind), *[pa.int64()] * 4]
+    return spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names), schema)
+
+
 def _with_quota(rows: DataFrame, quota: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(quota, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k")), how)
 

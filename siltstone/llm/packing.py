@@ -186,9 +186,10 @@ def pack(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
     pieces of equal size go by doc_id, then start. Other columns don't matter; an empty table gives an empty result.
     """
     lean(docs.sparkSession)
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), counter(p.vocabulary)(F.col("text")).alias("n")).where("n > 0")
-    # rows that are alike go together, and are parted again into runs, so that no identifier makes a shard large
-    sized = cut(sized.groupBy("doc_id", "n").agg(F.count("*").alias("m")))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), counter(p.vocabulary)(F.col("text")).alias("n"))
+    # rows that are alike go together, and are parted again into runs, so that no identifier makes a shard large; a filter
+    # before the checkpoint would be pushed below the counts, which then were made twice, in two workers a task
+    sized = cut(sized.groupBy("doc_id", "n").agg(F.count("*").alias("m"))).where("n > 0")
     shards = max(1, round((sized.agg(F.sum("m")).first()[0] or 0) / p.shard_pieces))
     run = max(1, p.shard_pieces // 8)
     runs = sized.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / run))))

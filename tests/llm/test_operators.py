@@ -312,9 +312,29 @@ def test_source_that_runs_out_leaves_its_seats():
     assert got == {"a": 3, "b": 40, "c": 39}
 
 
+def test_quotas_need_no_python_workers(spark):
+    for kind, sources in (("string", ["a", "b", None]), ("int", [1, 2, None]), ("double", [0.5, 1.5, None])):
+        docs = spark.createDataFrame([(k, sources[k % 3], "w " * 90) for k in range(90)], f"doc_id long, source {kind}, text string")
+        _, quota, _ = mixing._blocks(docs, mixing.MixParams(block_tokens=300, least_shards=3))
+        assert quota.schema["s"].dataType.simpleString() == kind and {r["s"] for r in quota.collect()} == set(sources)
+        if kind != "double":
+            assert "ExistingRDD" not in quota._jdf.queryExecution().toString()
+
+
 # -- 4 packing
 
 
+def test_tokens_are_counted_once(spark, monkeypatch, tmp_path):
+    plans, cut = [], packing.cut
+    monkeypatch.setattr(packing, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (None, "d")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    for vocabulary in (None, packing.PackParams().vocabulary):
+        plans.clear()
+        got = packing.pack(spark.read.parquet(str(tmp_path / "docs")), packing.PackParams(vocabulary=vocabulary)).collect()
+        assert {r["doc_id"] for r in got} == {1, None} and all(r["tokens"] > 0 for r in got)
+        assert [plan.count("ArrowEvalPython") for plan in plans] == [1]
+
+
 def fewest(sizes, capacity):
     best = len(sizes)
 
